@@ -37,7 +37,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 def _clean(value: str | None) -> str:
     """A header value on one line: controls and '%' are percent-escaped, undone by _value."""
-    return re.sub(r"[\x00-\x1f\x7f-\x9f  %]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value or "")
+    return re.sub(r"[\x00-\x1f\x7f-\x9f\u2028\u2029%]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value or "")
 
 
 def _value(header: str) -> str:
