@@ -1,0 +1 @@
+"""A Spark-native engine for preparing and searching large text corpora."""
