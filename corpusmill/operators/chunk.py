@@ -139,7 +139,8 @@ def _chunks(text: Column, config: ChunkConfig) -> Column:
         for texts in batches:
             yield texts.map(lambda t: [{"text": c, "overlap_len": n, "body_len": len(c) - n} for c, n in chunk_text(t or "", config)])
 
-    return run(text)
+    # Marked so that no inferred filter runs it a second time.
+    return run.asNondeterministic()(text)
 
 
 def chunk_documents(docs: DataFrame, id_col="id", title_col="title", text_col="text", config: ChunkConfig = ChunkConfig()) -> DataFrame:
