@@ -31,16 +31,14 @@ def clean_articles(
     if config.convert and not table:
         raise ValueError("conversion is enabled but no conversion table is given")
     source = F.col(text_col) if raw is None else raw
-    # One Arrow step gives the folded text and its unescaped form; all else is expressions on them.
-    step = articles.withColumn("_folded", T.fold_newlines(T.nfc(source)))
-    step = step.withColumn("_marked", T.unescape(F.col("_folded")))
-    bare = T.empty_parens(T.strip_invisible(T.conversion_markup(T.strip_tags(F.col("_marked")), config.rounds)), config.rounds)
-    step = step.withColumn("_bare", bare)
+    # One Arrow step prepares the text; all else is expressions on its result.
+    step = articles.withColumn("_prepared", T.prepared(source, config.rounds))
+    step = step.withColumn("_bare", T.empty_parens(T.strip_invisible(F.col("_prepared.text")), config.rounds))
     step = step.withColumn("_body", T.paragraphs_of(T.clean_lines(F.col("_bare"), config.heading_chars)))
     step = step.withColumn("_size", T.effective_length(F.col("_body")))
     reason = (
         F.when(source.isNull() | (F.regexp_replace(source, T.WS, "") == ""), "empty")
-        .when(F.col("_folded").rlike(T.REDIRECT), "redirect")
+        .when(F.col("_prepared.redirect"), "redirect")
         .when(F.col("_bare").rlike(T.MAGIC_WORD), "magic")
         .when(F.col("_bare").rlike(T.REDIRECT), "late_redirect")
         .when(F.col("_body").rlike(T.STUB) & (F.col("_size") < config.stub_chars), "stub")
@@ -51,7 +49,7 @@ def clean_articles(
         body = T.convert_variants(body, table)
     step = step.withColumn("drop_reason", reason)
     step = step.withColumn("clean_text", F.when(F.col("drop_reason").isNull(), T.truncated(body, config.max_chars)))
-    return step.drop("_folded", "_marked", "_bare", "_body", "_size")
+    return step.drop("_prepared", "_bare", "_body", "_size")
 
 
 def kept_articles(cleaned: DataFrame, id_col="id", title_col="title", url_col="url") -> DataFrame:
