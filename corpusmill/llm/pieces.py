@@ -26,6 +26,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -221,8 +222,6 @@ def encode_documents(docs: DataFrame, id_col="doc_id", text_col="text", vocabula
 
 def decode_documents(encoded: DataFrame, ids_col="ids", vocabulary=VOCABULARY) -> DataFrame:
     """``encoded`` with a column ``decoded``; null ids give null."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         v = Vocabulary(vocabulary)
