@@ -201,4 +201,71 @@ def quality_rules(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="l
 
 
 def op9_quality_rules(spark, sf_dir):
-    return quality_rules(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return quality_rules(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("distance")
+
+
+def _sql() -> str:
+    """The same rules in DuckDB: counts by list functions and windows, the estimate's steps as a chain of CTEs."""
+    space = r"[^\x20\x09-\x0D]"
+    same = lambda a, b: f"{a}.lang IS NOT DISTINCT FROM {b}.lang AND {a}.source IS NOT DISTINCT FROM {b}.source"
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    s = lambda i, j: f"e.s{min(i, j)}{max(i, j)}"
+    minor = lambda a, b, c, d: f"({s(*a)} * {s(*b)} - {s(*c)} * {s(*d)})"
+    co = {
+        (0, 0): minor((1, 1), (2, 2), (1, 2), (1, 2)),
+        (0, 1): minor((0, 2), (1, 2), (0, 1), (2, 2)),
+        (0, 2): minor((0, 1), (1, 2), (0, 2), (1, 1)),
+        (1, 1): minor((0, 0), (2, 2), (0, 2), (0, 2)),
+        (1, 2): minor((0, 1), (0, 2), (0, 0), (1, 2)),
+        (2, 2): minor((0, 0), (1, 1), (0, 1), (0, 1)),
+    }
+    det = f"({s(0, 0)} * {co[0, 0]} + {s(0, 1)} * {co[0, 1]} + {s(0, 2)} * {co[0, 2]})"
+    term = lambda i, j: f"(p.x{i} - e.m{i}) * (p.x{j} - e.m{j}) * {co[min(i, j), max(i, j)]}"
+    distance = "((" + " + ".join(term(i, j) for i in range(3) for j in range(3)) + f") / {det})"
+    quantile = lambda share: f"min(cell) FILTER (run >= total * {share})"
+    cells = " UNION ALL ".join(f"SELECT lang, source, {i} AS dim, floor(x{i} * {CELLS})::BIGINT AS cell FROM usable" for i in range(3))
+    start = ", ".join(
+        f"max((mid + 0.5) / {CELLS}.0) FILTER (dim = {i}) AS m{i}, max(((hi - lo) / {2.0 * CELLS}) * ((hi - lo) / {2.0 * CELLS}) + {FLOOR[i]}::DOUBLE * {FLOOR[i]}::DOUBLE) FILTER (dim = {i}) AS s{i}{i}"
+        for i in range(3)
+    )
+    out = f"""
+WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents
+), w AS (SELECT *, regexp_extract_all(text, '{space}+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{space}')) AS lines FROM t
+), g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n
+  FROM (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w))
+), r AS (SELECT doc_id, sum(least({WINDOW}, coalesce(following - i, {WINDOW})))::BIGINT AS n_repeat_words
+  FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM g WHERE n > 1) GROUP BY doc_id
+), c AS (SELECT w.doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(text) - length(translate(text, '{SYMBOLS}', '')))::BIGINT AS n_symbols, (len(lines) - list_unique(lines))::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN r USING (doc_id)
+), points AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    ln((word_chars + 50) / (n_words + 10)::DOUBLE) AS x0, ln(1 + 100 * n_symbols / greatest(word_chars, 1)::DOUBLE) AS x1,
+    ln(1 + 100 * n_repeat_words / greatest(n_words, 1)::DOUBLE) AS x2 FROM c
+), usable AS (SELECT * FROM points WHERE NOT base_failed
+), cells AS (SELECT lang, source, dim, cell, count(*) AS n FROM ({cells}) GROUP BY ALL
+), runs AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, dim ORDER BY cell) AS run, sum(n) OVER (PARTITION BY lang, source, dim) AS total FROM cells
+), q AS (SELECT lang, source, dim, {quantile(0.16)} AS lo, {quantile(0.5)} AS mid, {quantile(0.84)} AS hi, max(total) AS points FROM runs GROUP BY ALL
+), e0 AS (SELECT lang, source, max(points) AS points, {start}, 0.0::DOUBLE AS s01, 0.0::DOUBLE AS s02, 0.0::DOUBLE AS s12 FROM q GROUP BY lang, source
+)"""
+    for k in range(STEPS):
+        moments = ", ".join([f"avg(x{i} - m{i}) AS a{i}" for i in range(3)] + [f"avg((x{i} - m{i}) * (x{j} - m{j})) AS b{i}{j}" for i, j in pairs])
+        scatter = ", ".join(f"(b{i}{j} - a{i} * a{j}) * {CONSISTENCY}::DOUBLE" + (f" + {FLOOR[i]}::DOUBLE * {FLOOR[i]}::DOUBLE" if i == j else "") + f" AS s{i}{j}" for i, j in pairs)
+        centre = ", ".join(f"c{i} + a{i} AS m{i}" for i in range(3))
+        out += f""", n{k} AS (SELECT p.lang, p.source, p.x0, p.x1, p.x2, e.points, e.m0, e.m1, e.m2, floor(ln({distance} + 1e-9) * {CELLS})::BIGINT AS cell
+  FROM usable p JOIN e{k} e ON {same("p", "e")}
+), h{k} AS (SELECT lang, source, cell, count(*) AS n FROM n{k} GROUP BY ALL
+), l{k} AS (SELECT lang, source, {quantile(SHARE)} AS most FROM (
+  SELECT *, sum(n) OVER (PARTITION BY lang, source ORDER BY cell) AS run, sum(n) OVER (PARTITION BY lang, source) AS total FROM h{k}) GROUP BY ALL
+), o{k} AS (SELECT n.lang, n.source, max(points) AS points, max(m0) AS c0, max(m1) AS c1, max(m2) AS c2, {moments}
+  FROM n{k} n JOIN l{k} l ON {same("n", "l")} WHERE cell <= most GROUP BY n.lang, n.source
+), e{k + 1} AS (SELECT lang, source, points, {centre}, {scatter} FROM o{k}
+)"""
+    return out + f"""
+SELECT p.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(e.points >= {LEAST} AND {distance} > {CUTOFF}, false) AS kept
+FROM points p LEFT JOIN e{STEPS} e ON {same("p", "e")}
+"""
+
+
+OP9_SQL = _sql()

@@ -8,5 +8,6 @@ QUERIES = {f.__name__: f for f in (url_filter.op1_url_filter, secrets.op2_secret
 SQL = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
+    "op9_quality_rules": outliers.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
 }

@@ -248,7 +248,7 @@ def test_every_operator_is_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "near dedup", "mixing sources", "piece encoding"]
 
 
-@pytest.mark.parametrize("name", ["op6_exact_dedup", "op8_mix_sources", "op10_warc"])
+@pytest.mark.parametrize("name", ["op6_exact_dedup", "op8_mix_sources", "op9_quality_rules", "op10_warc"])
 def test_against_sql(spark, name):
     import duckdb
 
