@@ -34,6 +34,8 @@ from .common import fresh, stored, table
 
 K, ROWS, BANDS = 128, 5, 25
 SHINGLE, THRESHOLD, ROUNDS = 5, 0.8, 2
+#: Size of the filter of wanted keys: 8 MB, some 4 million keys at 6 % of false passes.
+FILTER_BITS = 26
 _U = np.uint64
 #: Words a pass of the signature kernel holds, documents a pass, and weight below which documents are passed apart.
 PASS_WORDS, PASS_DOCS, SMALL = 1 << 19, 1024, 64
@@ -202,11 +204,24 @@ def _utf8(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
 
 
-def multisets(docs: DataFrame, text_col: str) -> DataFrame:
-    """key and the sorted 32-bit region hashes of the text. A task sends each key once."""
+def _bits(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of 2**FILTER_BITS bits, of fixed size, with the bits of all wanted keys set."""
+    place = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long").bitwiseAND((1 << FILTER_BITS) - 1) + 1
+    parts = wanted.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit"))
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+        out[(r.part - 1) * 4096 : r.part * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
+
+
+def multisets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """key and the sorted 32-bit region hashes of the texts with wanted keys. A broadcast bitmap holds back
+    nearly all others before the shuffle, and a task sends each key once; the join makes it exact."""
+    bits = docs.sparkSession.sparkContext.broadcast(_bits(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
+        bitmap = bits.value
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for chosen in _passes([len(t) if t else 0 for t in texts]):
@@ -217,13 +232,17 @@ def multisets(docs: DataFrame, text_col: str) -> DataFrame:
                 if len(sent) > 500_000:
                     sent.clear()
                 for i, key in enumerate(_keys(d, e, len(chosen))):
-                    if key is not None and key not in sent:
+                    if key is None or key in sent:
+                        continue
+                    place = int.from_bytes(key[:4], "big") & ((1 << FILTER_BITS) - 1)
+                    if bitmap[place >> 3] >> (place & 7) & 1:
                         sent.add(key)
                         rows.append((key, np.sort(low[ends[i - 1] if i else 0 : ends[i]]).tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], names=["key", "regions"])
 
-    return docs.select(F.encode(F.col(text_col), "UTF-8").alias("text")).mapInArrow(run, "key binary, regions binary")
+    found = docs.select(F.encode(F.col(text_col), "UTF-8").alias("text")).mapInArrow(run, "key binary, regions binary")
+    return found.join(wanted, "key", "left_semi")
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -239,7 +258,7 @@ def verified(links: DataFrame, docs: DataFrame, text_col: str, threshold: float)
     links are fetched; a link's partners come by two joins, hot partners dealt out by the skew join."""
     links = stored(links, "links")
     wanted = stored(links.select(F.explode(F.array("x", "y")).alias("key")).distinct(), "wanted")
-    sets = multisets(docs, text_col).join(wanted, "key", "left_semi").groupBy("key").agg(F.first("regions").alias("regions"))
+    sets = multisets(docs, text_col, wanted).groupBy("key").agg(F.first("regions").alias("regions"))
     sets = stored(sets, "sets")
     pairs = links.join(sets.toDF("x", "a"), "x").join(sets.toDF("y", "b"), "y")
 
