@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -183,25 +183,26 @@ def _passes(sizes: list[int]) -> Iterator[list[int]]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k=K, rows=ROWS, bands=BANDS) -> DataFrame:
-    """id, key (binary, null without shingles), bands (array of long)."""
+    """id, digest (of the text), key (binary, null without shingles), bands (array of long)."""
     schema = docs.select(F.col(id_col).alias("id")).schema.simpleString()[len("struct<") : -1].replace("id:", "id ", 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for chosen in _passes([len(t) if t else 0 for t in texts]):
                 d, e = regions([texts[i] for i in chosen])
                 keys = _keys(d, e, len(chosen))
                 hashes = band_hashes(darts(d, e, len(chosen), k), rows, bands)
                 flat = pa.array(hashes.reshape(-1))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(chosen) + 1, dtype=np.int32) * bands), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(chosen)), pa.array(keys, pa.binary()), lists], names=["id", "key", "bands"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(chosen)) for i in (0, 1)), pa.array(keys, pa.binary()), lists], names=["id", "digest", "key", "bands"])
 
-    return _utf8(docs, id_col, text_col).mapInArrow(run, f"{schema}, key binary, bands array<bigint>")
+    given = docs.select(F.col(id_col).alias("id"), digest_of(text_col).alias("digest"), F.encode(F.col(text_col), "UTF-8").alias("text"))
+    return given.mapInArrow(run, f"{schema}, digest string, key binary, bands array<bigint>")
 
 
-def _utf8(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
+def digest_of(text_col: str) -> Column:
+    return F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
 
 
 def _bits(wanted: DataFrame) -> np.ndarray:
@@ -309,11 +310,12 @@ def _picked(buckets: DataFrame, picks: list) -> DataFrame:
 
 def near_classes(docs: DataFrame, id_col="doc_id", text_col="text", threshold=THRESHOLD, k=K, rows=ROWS, bands=BANDS, rounds=ROUNDS) -> DataFrame:
     """One row for each input row: id, class_id (the smallest id in its class), class_size, copies (rows
-    with an equal multiset) and links (checked links from its node to other nodes)."""
+    with an equal multiset), links (checked links from its node to other nodes), digest (MD5 of the text) and
+    kept (it is the class's row with the smallest id, of equal ids that with the smallest digest)."""
     signed = stored(signatures(docs, id_col, text_col, k, rows, bands), "signatures")
     found = signed.filter("key IS NOT NULL")
     # Equal multisets have equal bands: any of the rows speaks for the node.
-    nodes = stored(found.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "nodes")
+    nodes = stored(found.groupBy("key").agg(F.min(F.struct("id", "digest")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "nodes")
     buckets = nodes.select("key", F.explode("bands").alias("bucket"))
     links = verified(_picked(buckets, [F.min("key"), F.max("key")]), docs, text_col, threshold)
     labels = stored(components(links), "labels")
@@ -336,30 +338,31 @@ def near_classes(docs: DataFrame, id_col="doc_id", text_col="text", threshold=TH
         labels = stored(components(links), "labels")
     ends = links.distinct().select(F.explode(F.array("x", "y")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("links"))
     node = nodes.select("key", "first", "copies").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    classes = node.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
+    classes = node.groupBy("label").agg(F.min("first").alias("chief"), F.sum("copies").alias("class_size"))
     node = node.join(classes, "label").join(ends.withColumnRenamed("n", "key"), "key", "left")
-    node = stored(node.select(F.col("key").alias("k"), "class_id", "class_size", "copies", F.coalesce("links", F.lit(0)).alias("links")), "classes")
-    out = signed.select("id", "key").join(node, F.col("key") == F.col("k"), "left")
+    node = stored(node.select(F.col("key").alias("k"), "chief", "class_size", "copies", F.coalesce("links", F.lit(0)).alias("links")), "classes")
+    out = signed.select("id", "digest", "key").join(node, F.col("key") == F.col("k"), "left")
     none = F.col("key").isNull()
     one = F.lit(1).cast("long")
     return out.select(
         "id",
-        F.when(none, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(none, F.col("id")).otherwise(F.col("chief.id")).alias("class_id"),
         F.when(none, one).otherwise(F.col("class_size")).alias("class_size"),
         F.when(none, one).otherwise(F.col("copies")).alias("copies"),
         F.when(none, F.lit(0).cast("long")).otherwise(F.col("links")).alias("links"),
+        "digest",
+        (none | (F.col("id").eqNullSafe(F.col("chief.id")) & (F.col("digest") == F.col("chief.digest")))).alias("kept"),
     )
 
 
 def near_dedup(docs: DataFrame, id_col="doc_id", text_col="text", **params) -> DataFrame:
-    """``docs`` with one document - the smallest id - of each class, with its own columns. Rows that share
-    the kept id are told apart by nothing else; one of them stays."""
-    c, n = fresh(docs, "near_id", "near_turn")
-    kept = near_classes(docs, id_col, text_col, **params).filter(F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias(c)).distinct()
-    own = docs.join(kept, docs[id_col].eqNullSafe(kept[c]), "left_semi")
-    return own.withColumn(n, F.row_number().over(Window.partitionBy(id_col).orderBy(F.lit(1)))).filter(F.col(n) == 1).select(*docs.columns)
+    """``docs`` with one document of each class, with its own columns. Rows equal in id and text count once."""
+    c, g, own, n = fresh(docs, "near_id", "near_digest", "near_own", "near_turn")
+    kept = near_classes(docs, id_col, text_col, **params).filter("kept").select(F.col("id").alias(c), F.col("digest").alias(g)).distinct()
+    rows = docs.withColumn(own, digest_of(text_col))
+    rows = rows.join(kept, rows[id_col].eqNullSafe(kept[c]) & (rows[own] == kept[g]), "left_semi")
+    return rows.withColumn(n, F.row_number().over(Window.partitionBy(id_col, own).orderBy(F.lit(1)))).filter(F.col(n) == 1).select(*docs.columns)
 
 
 def op7_near_dedup(spark, sf_dir):
-    out = near_classes(table(spark, sf_dir, "documents"))
-    return out.withColumnRenamed("id", "doc_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return near_classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("digest")

@@ -92,6 +92,8 @@ def test_repeated_rows_and_null_ids(spark):
     text = "one two three four five six seven"
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, None), (2, None)], DOCS)
     got = near_dedup.near_classes(df).collect()
+    both = spark.createDataFrame([(5, text), (5, "quite another text that shares nothing at all"), (6, text), (5, text)], DOCS)
+    assert sorted(tuple(r) for r in near_dedup.near_dedup(both).collect()) == [(5, text) if i else (5, "quite another text that shares nothing at all") for i in (1, 0)]
     assert [r.class_size for r in got if r.id == 1] == [3, 3] and all(r.class_size == 1 for r in got if r.id == 2)
 
 
