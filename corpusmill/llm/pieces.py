@@ -41,7 +41,9 @@ MARK = "▁"
 OWN_MARK = "\udc81"
 #: Words longer than this keep their agenda in a heap instead of a list.
 LONG = 48
-_ODD, _M64 = 0x9FB21C651E98DF25, (1 << 64) - 1
+#: The skip hash works on 30 bits, which Python multiplies fast.
+_ODD, _PLACE, _BITS = 0x2C1B3C6D, 0x165667B1, 30
+_MASK = (1 << _BITS) - 1
 
 
 class Vocabulary:
@@ -65,19 +67,19 @@ class Vocabulary:
             raise ValueError("lossless encoding needs a vocabulary with all byte pieces")
         self.cost = {p: -s for p, s in self.score.items()}
         #: A fixed random number for each piece, part of the skip decision's key.
-        self.salt = {p: xxhash.xxh64_intdigest(p.encode(), 3) for p in self.id}
+        self.salt = {p: xxhash.xxh64_intdigest(p.encode(), 3) & _MASK for p in self.id}
         self.words = self._cuts()
 
     def _cuts(self) -> re.Pattern:
         """Finds the words. Besides space marks and newlines, a run of letters and digits ends before a
-        punctuation mark that no piece holds right after a letter or digit."""
+        punctuation mark, unless it holds one of the few characters that some piece has right before one."""
         after = {(a, b) for p in self.id for a, b in zip(p, p[1:], strict=False)}
         if any(b == MARK and a != MARK for a, b in after) or any("\n" in pair for pair in after):
             raise ValueError("pieces join a space mark or newline to text before it")
-        held = {b for a, b in after if a == "_" or a.isalnum()}
-        ends = "".join(re.escape(c) for c in "!\"#$%&'()*+,-./:;<=>?@[]^`{|}~" if c not in held)
-        run = rf"{MARK}*\w++(?=[{ends}])|" if ends else ""
-        return re.compile(rf"\n|{run}{MARK}*[^{MARK}\n]+|{MARK}+")
+        marks = "!\"#$%&'()*+,-./:;<=>?@[]^`{|}~"
+        joining = {a for a, b in after if a.isalnum() and b in marks} | {"_"}
+        run = rf"{MARK}*[^\W{re.escape(''.join(sorted(joining)))}]++(?=[{re.escape(marks)}])"
+        return re.compile(rf"\n|{run}|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 
 def merge(word: str, cost: dict[str, float], salt: dict[str, int] | None = None, key: int = 0, limit: int = 0) -> list[str]:
@@ -94,9 +96,12 @@ def merge(word: str, cost: dict[str, float], salt: dict[str, int] | None = None,
             break
         i = agenda.index(least)
         piece = symbols[i] + symbols[i + 1]
-        if salt is not None and ((key ^ salt[piece]) + starts[i] * 0x632BE59BD9B4E019) * _ODD & _M64 < limit:
-            agenda[i] = never
-            continue
+        if salt is not None:
+            x = ((key ^ salt[piece]) + starts[i] * _PLACE) & _MASK
+            x = ((x ^ (x >> 15)) * _ODD) & _MASK
+            if x ^ (x >> 13) < limit:
+                agenda[i] = never
+                continue
         symbols[i] = piece
         del symbols[i + 1], starts[i + 1], agenda[i]
         if i:
@@ -118,8 +123,11 @@ def _merge_long(word: str, cost: dict[str, float], salt, key: int, limit: int) -
         # Stale if either symbol was merged meanwhile.
         if symbol[i] is None or j >= n or symbol[i] + symbol[j] != piece:
             continue
-        if salt is not None and ((key ^ salt[piece]) + i * 0x632BE59BD9B4E019) * _ODD & _M64 < limit:
-            continue
+        if salt is not None:
+            x = ((key ^ salt[piece]) + i * _PLACE) & _MASK
+            x = ((x ^ (x >> 15)) * _ODD) & _MASK
+            if x ^ (x >> 13) < limit:
+                continue
         symbol[i], symbol[j] = piece, None
         k = after[i] = after[j]
         h = before[i]
@@ -142,12 +150,12 @@ class Encoder:
         self.v, self.dropout, self.seed, self.variants, self.most = vocabulary, dropout, seed, variants if dropout else 1, remember
         self.new: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
         self.old: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.held, self.limit = 0, int(dropout * (1 << 64))
+        self.held, self.limit = 0, int(dropout * (1 << _BITS))
 
     def word_ids(self, word: str, variant: int) -> list[int]:
         v = self.v
         if self.dropout:
-            key = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), (self.seed << 8) + variant)
+            key = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), (self.seed << 8) + variant) & _MASK
             symbols = merge(word, v.cost, v.salt, key, self.limit)
         else:
             symbols = merge(word, v.cost)
@@ -161,11 +169,7 @@ class Encoder:
         return out
 
     def _missing(self, word: str, variant: int) -> bytes:
-        ids = self.old[variant].get(word)
-        if ids is None:
-            ids = array("i", self.word_ids(word, variant)).tobytes()
-        if self.held >= self.most:
-            self.old, self.new, self.held = self.new, [{} for _ in range(self.variants)], 0
+        ids = self.old[variant].get(word) or array("i", self.word_ids(word, variant)).tobytes()
         self.new[variant][word] = ids
         self.held += 1
         return ids
@@ -176,18 +180,17 @@ class Encoder:
         if MARK in text:
             text = text.replace(MARK, OWN_MARK)
         words = self.v.words.findall(MARK + text.replace(" ", MARK))
-        out = []
+        if self.held >= self.most:
+            self.old, self.new, self.held = self.new, [{} for _ in range(self.variants)], 0
+        get, missing = [n.get for n in self.new], self._missing
         if self.variants == 1:
-            for w in words:
-                out.append(self.new[0].get(w) or self._missing(w, 0))
-            return b"".join(out)
+            return b"".join([get[0](w) or missing(w, 0) for w in words])
         start = np.uint64(xxhash.xxh64_intdigest(key, self.seed))
         with np.errstate(over="ignore"):
             x = (np.arange(len(words), dtype=np.uint64) + start) * np.uint64(0x9E3779B97F4A7C15)
             x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        for w, k in zip(words, ((x >> np.uint64(33)) % np.uint64(self.variants)).tolist(), strict=True):
-            out.append(self.new[k].get(w) or self._missing(w, k))
-        return b"".join(out)
+        turns = ((x >> np.uint64(33)) % np.uint64(self.variants)).tolist()
+        return b"".join([get[k](w) or missing(w, k) for w, k in zip(words, turns, strict=True)])
 
 
 def decode(ids, vocabulary: Vocabulary) -> str:
