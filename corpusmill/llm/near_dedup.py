@@ -11,7 +11,8 @@ coordinate with probability equal to their weighted Jaccard similarity.
 ``bands`` bands of ``rows`` coordinates make buckets. Equal multisets are one node from the start. In a
 bucket every node is linked to few members picked by hash, never to all; a link counts only after the
 similarity of both full multisets was computed and reaches ``threshold``. Nodes of one bucket that are
-still in different classes are linked again to other members in ``rounds`` further rounds. Classes are
+still in different classes are linked again to other members in ``rounds`` further rounds. In buckets that
+hold several classes even then, every pair of nodes of different classes is compared, in blocks. Classes are
 the connected components of the links.
 
 Cases: null and empty texts, and texts without words, have no shingles; each is a class of its own.
@@ -36,6 +37,8 @@ K, ROWS, BANDS = 128, 5, 25
 SHINGLE, THRESHOLD, ROUNDS = 5, 0.8, 2
 #: Size of the filter of wanted keys: 8 MB, some 4 million keys at 6 % of false passes.
 FILTER_BITS = 26
+#: Nodes of a block in the complete comparison of a bucket, and regions of a pass of its matrix product.
+BLOCK, COLUMNS = 256, 4096
 _U = np.uint64
 #: Words a pass of the signature kernel holds, documents a pass, and weight below which documents are passed apart.
 PASS_WORDS, PASS_DOCS, SMALL = 1 << 19, 1024, 64
@@ -308,6 +311,96 @@ def _picked(buckets: DataFrame, picks: list) -> DataFrame:
     return joined.select("key", to).filter("key != p").select(F.least("key", "p").alias("x"), F.greatest("key", "p").alias("y")).distinct()
 
 
+def close_pairs(left: list[bytes], right: list[bytes], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (i, j) of all pairs of sorted multisets that reach the threshold: a matrix product over the
+    regions that occur on both sides, some columns at a time."""
+    a, b = ([np.frombuffer(x, np.uint32) for x in side] for side in (left, right))
+    flat = [np.concatenate(side) for side in (a, b)]
+    row = [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (a, b)]
+    common = np.intersect1d(*flat)
+    for s in range(2):
+        held = np.isin(flat[s], common)
+        flat[s], row[s] = np.searchsorted(common, flat[s][held]), row[s][held]
+        order = np.argsort(flat[s], kind="stable")
+        flat[s], row[s] = flat[s][order], row[s][order]
+    both = np.zeros((len(a), len(b)))
+    for lo in range(0, len(common), COLUMNS):
+        parts = []
+        for s, n in enumerate((len(a), len(b))):
+            on = slice(*np.searchsorted(flat[s], (lo, lo + COLUMNS)))
+            parts.append(np.zeros((n, min(COLUMNS, len(common) - lo)), np.float32))
+            parts[s][row[s][on], flat[s][on] - lo] = 1
+        both += parts[0] @ parts[1].T
+    whole = np.add.outer([len(x) for x in a], [len(x) for x in b])
+    return np.nonzero(both / (whole - both) >= threshold)
+
+
+def _spanning(left: list[tuple], right: list[tuple], threshold: float) -> Iterator[tuple[bytes, bytes]]:
+    """Links (x, y) that join all close pairs of different classes among (key, label, regions) of two blocks;
+    pairs that earlier ones have joined are left out."""
+    above: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while x in above:
+            x = above[x]
+        return x
+
+    for i, j in zip(*close_pairs([r[2] for r in left], [r[2] for r in right], threshold), strict=True):
+        x, y = root(left[i][1]), root(right[j][1])
+        if x != y:
+            above[max(x, y)] = min(x, y)
+            yield min(left[i][0], right[j][0]), max(left[i][0], right[j][0])
+
+
+def _complete(buckets: DataFrame, labels: DataFrame, docs: DataFrame, text_col: str, threshold: float) -> DataFrame:
+    """Links (x, y) that join all close pairs of nodes in a bucket that are in different classes. Members are
+    dealt to cells by the logarithm of their size, as close pairs are in one cell or in neighbours, and in a cell
+    to blocks by hash; a group of rows is one block against another. Buckets of up to three nodes have no
+    pair without the smallest or the largest key, with which all were compared."""
+    named = buckets.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    split = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    split = split.filter("lo != hi AND n > 3").select(F.col("bucket").alias("b"), F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
+    open_ = stored(named.join(split, F.col("bucket") == F.col("b")).select("key", "label", "bucket", "blocks"), "split")
+    schema = "x binary, y binary"
+    if not open_.take(1):
+        return docs.sparkSession.createDataFrame([], schema)
+    sets = multisets(docs, text_col, stored(open_.select("key").distinct(), "wanted")).groupBy("key").agg(F.first("regions").alias("regions"))
+    # A little wider than the threshold's ratio, against rounding.
+    ratio = max(-math.log(threshold), 1e-6) * (1 + 1e-9) if threshold > 0 else math.inf
+    size = F.floor(F.log(F.length("regions") / 4) / ratio).cast("long")
+    placed = open_.join(sets, "key").withColumn("size", size).withColumn("own", F.pmod(F.xxhash64("key"), "blocks"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    part = lambda cell, i, j, side: F.struct(cell.alias("cell"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    own, cell = F.col("own"), F.col("size")
+    roles = F.concat(
+        F.transform(every, lambda j: part(cell, own, j, 0)),
+        F.transform(F.filter(every, lambda i: i <= own), lambda i: part(cell, i, own, 1)),
+        F.transform(every, lambda i: part(cell - 1, i, own, 1)),
+    )
+    group = ["bucket", "cell", "i", "j"]
+    rows = placed.select("bucket", F.explode(roles).alias("r"), "key", "label", "regions").select("bucket", "r.*", "key", "label", "regions")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, ([], [])
+
+        def links() -> Iterator[pa.RecordBatch]:
+            if sides[0] and sides[1] and len({r[1] for side in sides for r in side}) > 1:
+                found = list(_spanning(*sides, threshold))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], names=["x", "y"])
+
+        for batch in batches:
+            for *at, side, key, label, regions in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != now:
+                    yield from links()
+                    now, sides = at, ([], [])
+                sides[side].append((key, label, regions))
+        yield from links()
+
+    found = rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, schema)
+    return stored(found.distinct(), "complete")
+
+
 def near_classes(docs: DataFrame, id_col="doc_id", text_col="text", threshold=THRESHOLD, k=K, rows=ROWS, bands=BANDS, rounds=ROUNDS) -> DataFrame:
     """One row for each input row: id, class_id (the smallest id in its class), class_size, copies (rows
     with an equal multiset), links (checked links from its node to other nodes), digest (MD5 of the text) and
@@ -336,6 +429,10 @@ def near_classes(docs: DataFrame, id_col="doc_id", text_col="text", threshold=TH
         tried = more if tried is None else tried.unionByName(more)
         links = links.unionByName(verified(more, docs, text_col, threshold))
         labels = stored(components(links), "labels")
+    more = _complete(buckets, labels, docs, text_col, threshold)
+    if more.take(1):
+        links = links.unionByName(more)
+        labels = stored(components(links), "labels")
     ends = links.distinct().select(F.explode(F.array("x", "y")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("links"))
     node = nodes.select("key", "first", "copies").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     classes = node.groupBy("label").agg(F.min("first").alias("chief"), F.sum("copies").alias("class_size"))

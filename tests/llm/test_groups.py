@@ -7,6 +7,7 @@ import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -88,6 +89,34 @@ def test_classes_equal_brute_force(spark):
     assert near_dedup.near_classes(df.limit(0)).count() == 0 and near_dedup.near_dedup(df.limit(0)).count() == 0
 
 
+def test_twins_inside_one_boilerplate_family(spark):
+    random.seed(21)
+    word = lambda: f"w{random.randrange(10**6)}"
+    passage = [word() for _ in range(172)]
+    rows = []
+    for i in range(80):  # twins share more than the passage, by which all the others are just too far apart
+        own = [word() for _ in range(28)]
+        rows += [(2 * i, " ".join(passage + own)), (2 * i + 1, " ".join(passage + own[:12] + [word() for _ in range(16)]))]
+    want = brute_classes(rows)
+    assert len(want) == 80
+    df = spark.createDataFrame(rows, DOCS)
+    params = {"rows": 1, "bands": 8}  # buckets that hold most of the family
+    found = defaultdict(list)
+    for r in near_dedup.near_classes(df, **params).collect():
+        found[r.class_id].append(r.id)
+    assert sorted(sorted(m) for m in found.values()) == want
+
+
+@pytest.mark.parametrize("columns", [7, 4096])
+def test_close_pairs_equal_single_comparisons(monkeypatch, columns):
+    monkeypatch.setattr(near_dedup, "COLUMNS", columns)
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.choice(60, rng.integers(1, 60), replace=False)).astype(np.uint32).tobytes() for _ in range(80)]
+    sets += [np.arange(1000 + i, 1004 + i, dtype=np.uint32).tobytes() for i in range(3)]
+    got = set(zip(*(x.tolist() for x in near_dedup.close_pairs(sets[:50], sets[30:], 0.5)), strict=True))
+    assert got == {(i, j) for i, a in enumerate(sets[:50]) for j, b in enumerate(sets[30:]) if near_dedup.similarity(a, b) >= 0.5}
+
+
 def test_repeated_rows_and_null_ids(spark):
     text = "one two three four five six seven"
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, None), (2, None)], DOCS)
