@@ -2,10 +2,11 @@
 
 Encoding follows the merge-type model of a public vocabulary: characters start as symbols, an agenda holds
 every pair of neighbours whose union is a piece, best score and then leftmost first, and merges run until
-the agenda is empty. With dropout each candidate that comes up is skipped if a keyed hash says so. The key
-is made of the seed, one of ``variants`` numbers that is drawn by hash for each occurrence of a word in
-its document, the word, and the candidate's place and piece; hence segmentations vary between and within
-documents, repeat exactly for the same seed, and can be remembered by word and variant. Characters that
+the agenda is empty. With dropout each candidate that comes up is skipped by its own chance, drawn from the
+seed, the document's id and the word's position in it; hence every occurrence of a word is segmented on its
+own, and all repeats exactly for the same seed. How many candidates pass until the next skip is geometric: an
+occurrence whose first skip lies beyond the word's merges takes the undropped form, and forms after the same
+skips are remembered, to any number of forms a word. Characters that
 are no piece become byte pieces, also the space mark itself where a text holds it, so that decoding gives
 back every text exactly.
 
@@ -14,13 +15,14 @@ letter or digit and a punctuation mark that no piece has in this order, all read
 changes no segmentation. With dropout 0 the result is that of the vocabulary's own library.
 
 Cases: null text counts as empty and has no pieces. Texts of any length are encoded whole. A null id draws
-variants like an empty one. Repeated rows encode alike. An empty table gives an empty result. Extra columns
+like an empty one. Repeated rows encode alike. An empty table gives an empty result. Extra columns
 are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -35,12 +37,14 @@ from pyspark.sql import functions as F
 from .common import table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS, REMEMBER = 0.1, 17, 2, 400_000
+DROPOUT, SEED, REMEMBER = 0.1, 17, 400_000
 MARK = "▁"
 #: Stands for a space mark that the text itself holds; a lone surrogate, which no text can hold.
 OWN_MARK = "\udc81"
-#: Words longer than this keep their agenda in a heap instead of a list.
+#: Words longer than this keep their agenda in a heap instead of a list, and their forms are not remembered.
 LONG = 48
+#: Forms of a word are remembered up to this many skips.
+DEEP = 2
 #: The skip hash works on 30 bits, which Python multiplies fast.
 _ODD, _PLACE, _BITS = 0x2C1B3C6D, 0x165667B1, 30
 _MASK = (1 << _BITS) - 1
@@ -142,23 +146,68 @@ def _merge_long(word: str, cost: dict[str, float], salt, key: int, limit: int) -
     return [s for s in symbol if s is not None]
 
 
+def merge_skipping(word: str, cost: dict[str, float], gaps: list[int]) -> tuple[list[str], int]:
+    """Symbols of ``word`` if, time after time, as many candidates as the next of ``gaps`` says are merged and one
+    is skipped, and the number of candidates after the last skip, which are all merged."""
+    symbols = list(word)
+    never = float("inf")
+    agenda = [cost.get(word[i : i + 2], never) for i in range(len(word) - 1)]
+    skips = [*reversed(gaps)]
+    left, after = skips.pop() if skips else -1, 0
+    while agenda:
+        least = min(agenda)
+        if least == never:
+            break
+        i = agenda.index(least)
+        if left == 0:
+            agenda[i] = never
+            left, after = skips.pop() if skips else -1, 0
+            continue
+        left, after = left - 1, after + 1
+        piece = symbols[i] + symbols[i + 1]
+        symbols[i] = piece
+        del symbols[i + 1], agenda[i]
+        if i:
+            agenda[i - 1] = cost.get(symbols[i - 1] + piece, never)
+        if i < len(agenda):
+            agenda[i] = cost.get(piece + symbols[i + 1], never)
+    return symbols, after
+
+
+_WHOLE = (1 << 64) - 1
+
+
+def _next(x: int) -> int:
+    """The random number after ``x`` in an occurrence's series."""
+    x = (x + 0x9E3779B97F4A7C15) & _WHOLE
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _WHOLE
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _WHOLE
+    return x ^ (x >> 31)
+
+
+class Form:
+    """Ids of a word after some skips, the number of candidates after the last, and the forms after one more
+    skip by its place among these. ``size`` counts the forms below a word's first one and itself."""
+
+    __slots__ = ("after", "ids", "more", "size")
+
+    def __init__(self, after: float, ids: bytes):
+        self.after, self.ids, self.more, self.size = after, ids, None, 1
+
+
 class Encoder:
     """Encodes texts to id bytes (little-endian int32). Remembers words in two generations, so that the
     frequent ones stay; what is remembered changes speed only."""
 
-    def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, remember: int = REMEMBER):
-        self.v, self.dropout, self.seed, self.variants, self.most = vocabulary, dropout, seed, variants if dropout else 1, remember
-        self.new: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.old: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+    def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED, remember: int = REMEMBER):
+        self.v, self.dropout, self.seed, self.most = vocabulary, dropout, seed, remember
+        self.new: dict[str, Form] = {}
+        self.old: dict[str, Form] = {}
         self.held, self.limit = 0, int(dropout * (1 << _BITS))
+        self.rate = math.log1p(-dropout) if dropout < 1 else -math.inf
 
-    def word_ids(self, word: str, variant: int) -> list[int]:
+    def _ids(self, symbols: list[str]) -> bytes:
         v = self.v
-        if self.dropout:
-            key = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), (self.seed << 8) + variant) & _MASK
-            symbols = merge(word, v.cost, v.salt, key, self.limit)
-        else:
-            symbols = merge(word, v.cost)
         out: list[int] = []
         for s in symbols:
             found = v.id.get(s)
@@ -166,13 +215,43 @@ class Encoder:
                 out.append(found)
             else:
                 out.extend(v.byte[b] for b in (MARK if s == OWN_MARK else s).encode())
-        return out
+        return array("i", out).tobytes()
+
+    def _form(self, word: str, gaps: list[int]) -> Form:
+        symbols, after = merge_skipping(word, self.v.cost, gaps)
+        return Form(after, self._ids(symbols))
 
-    def _missing(self, word: str, variant: int) -> bytes:
-        ids = self.old[variant].get(word) or array("i", self.word_ids(word, variant)).tobytes()
-        self.new[variant][word] = ids
-        self.held += 1
-        return ids
+    def _missing(self, word: str) -> Form:
+        form = self.old.get(word)
+        if form is None:
+            if len(word) <= LONG:
+                form = self._form(word, [])
+            else:
+                # With dropout a long word is merged anew each time: no first skip is beyond its candidates.
+                form = Form(math.inf, b"" if self.dropout else self._ids(merge(word, self.v.cost)))
+        self.new[word] = form
+        self.held += form.size
+        return form
+
+    def _dropped(self, word: str, first: Form, gap: float, x: int) -> bytes:
+        """Ids of an occurrence whose first skip is after ``gap`` merges and whose random number is ``x``."""
+        if len(word) > LONG:
+            return self._ids(merge(word, self.v.cost, self.v.salt, _next(x) & _MASK, self.limit))
+        form, gaps = first, []
+        while gap < form.after:
+            gaps.append(int(gap))
+            after = form.more.get(gap) if form.more else None
+            if after is None:
+                after = self._form(word, gaps)
+                if len(gaps) <= DEEP:
+                    if form.more is None:
+                        form.more = {}
+                    form.more[gap] = after
+                    first.size += 1
+                    self.held += 1
+            form, x = after, _next(x)
+            gap = math.log(((x >> 11) + 1) / (1 << 53)) / self.rate // 1
+        return form.ids
 
     def __call__(self, text: str, key: str) -> bytes:
         if not text:
@@ -181,16 +260,19 @@ class Encoder:
             text = text.replace(MARK, OWN_MARK)
         words = self.v.words.findall(MARK + text.replace(" ", MARK))
         if self.held >= self.most:
-            self.old, self.new, self.held = self.new, [{} for _ in range(self.variants)], 0
-        get, missing = [n.get for n in self.new], self._missing
-        if self.variants == 1:
-            return b"".join([get[0](w) or missing(w, 0) for w in words])
+            self.old, self.new, self.held = self.new, {}, 0
+        get, missing, dropped = self.new.get, self._missing, self._dropped
+        forms = [get(w) or missing(w) for w in words]
+        if not self.dropout:
+            return b"".join([f.ids for f in forms])
         start = np.uint64(xxhash.xxh64_intdigest(key, self.seed))
         with np.errstate(over="ignore"):
             x = (np.arange(len(words), dtype=np.uint64) + start) * np.uint64(0x9E3779B97F4A7C15)
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        turns = ((x >> np.uint64(33)) % np.uint64(self.variants)).tolist()
-        return b"".join([get[k](w) or missing(w, k) for w, k in zip(words, turns, strict=True)])
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x = x ^ (x >> np.uint64(31))
+        gaps = np.floor(np.log(((x >> np.uint64(11)).astype(np.float64) + 1.0) / (1 << 53)) / self.rate).tolist()
+        return b"".join([f.ids if g >= f.after else dropped(w, f, g, y) for w, f, g, y in zip(words, forms, gaps, x.tolist(), strict=True)])
 
 
 def decode(ids, vocabulary: Vocabulary) -> str:
@@ -199,14 +281,14 @@ def decode(ids, vocabulary: Vocabulary) -> str:
     return (raw[1:] if raw[:1] == b" " else raw).decode()
 
 
-def encode_documents(docs: DataFrame, id_col="doc_id", text_col="text", vocabulary=VOCABULARY, dropout=DROPOUT, seed=SEED, variants=VARIANTS) -> DataFrame:
+def encode_documents(docs: DataFrame, id_col="doc_id", text_col="text", vocabulary=VOCABULARY, dropout=DROPOUT, seed=SEED) -> DataFrame:
     """One row for each input row: id, ids (array of int), n_pieces and lossless (decoding the ids gave
     back the text)."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(vocabulary)
-        encoder = Encoder(v, dropout, seed, variants)
+        encoder = Encoder(v, dropout, seed)
         for batch in batches:
             # Slices bound what is held beside the batch; its rows may be long.
             for start in range(0, batch.num_rows, 512):

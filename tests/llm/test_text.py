@@ -217,6 +217,31 @@ def test_dropout_varies_and_repeats(vocabulary):
     assert plain < dropped < 2.5 * plain
 
 
+def test_every_occurrence_draws_its_own_dropout(vocabulary):
+    word = " internationalisation"
+    one = pieces.Encoder(vocabulary, 0.3)
+    alone = {one((word * 400)[1:], str(k)) for k in range(4)}
+    assert len(alone) == 4
+    v, forms, rest = vocabulary, set(), (word * 2000)[1:]
+    out = ids(one, rest)
+    whole = "▁" + word.strip()
+    back, now = [], b""
+    for i in out:
+        back.append(i)
+        now += v.bytes[i]
+        if len(now) >= len(whole.replace("▁", " ")):
+            forms.add(tuple(back))
+            back, now = [], b""
+    assert len(forms) > 20
+    # As often undropped as if every candidate were skipped by a hash of its own.
+    one, limit = pieces.Encoder(v, 0.1), int(0.1 * (1 << 30))
+    plain, symbols = pieces.Encoder(v, 0)(word.strip(), ""), pieces.merge(whole, v.cost)
+    same = sum(one(word.strip(), str(k)) == plain for k in range(4000)) / 4000
+    assert same == pytest.approx(sum(pieces.merge(whole, v.cost, v.salt, random.getrandbits(30), limit) == symbols for _ in range(4000)) / 4000, abs=0.04)
+    # What is remembered changes speed only.
+    assert pieces.Encoder(v, 0.3, remember=1)(rest, "1") == pieces.Encoder(v, 0.3)(rest, "1")
+
+
 @settings(max_examples=200, deadline=None)
 @given(word=st.text("abcdest▁", min_size=1, max_size=30), key=st.integers(0, 1 << 60), dropout=st.sampled_from([0.0, 0.3]))
 def test_list_and_heap_agendas_agree(vocabulary, word, key, dropout):
