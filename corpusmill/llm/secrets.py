@@ -27,9 +27,10 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: A credential word, a sign of assignment, a value.
+#: A credential word, a sign of assignment, a value: all up to the matching quote on the line, else up to a mark.
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|(?:api|access|private|auth)[_-]?key|credentials?)["']?[\x20\t]*(?:=>|->|:=|[:=])[\x20\t]*["']?([^\s"'<>,;]{6,})""",
+    r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|(?:api|access|private|auth)[_-]?key|credentials?)["']?[\x20\t]*(?:=>|->|:=|[:=])[\x20\t]*"""
+    r"""(?:"(?P<double>(?:\\.|[^"\\\r\n]){6,})"|'(?P<single>(?:\\.|[^'\\\r\n]){6,})'|"(?P<plain2>[^"\r\n]{6,})"|'(?P<plain1>[^'\r\n]{6,})'|["']?(?P<bare>[^\s"'<>,;]{6,}))""",
     re.ASCII | re.IGNORECASE,
 )
 #: Every credential word of ASSIGN and CONTEXT holds one of these.
@@ -138,8 +139,8 @@ def scan(text: str, threshold: float = THRESHOLD) -> tuple[list[tuple[int, int,
     if hinted:
         extra = []
         for m in CONTEXT.finditer(text):
-            a, b = m.span(1)
-            cost = guess_cost(m[1])
+            a, b = m.span(m.lastgroup)
+            cost = guess_cost(m[m.lastgroup])
             most = max(most, cost)
             if cost >= threshold and not any(x <= a and b <= y for x, y in covered):
                 extra.append((a, b, "guess"))

@@ -89,6 +89,18 @@ def test_spans(spark):
     assert secrets.scan_secrets(df.limit(0)).count() == 0
 
 
+def test_quoted_values_are_rated_whole():
+    spans = lambda t: [(t[a:b], k) for a, b, k in secrets.scan(t)[0] if k == "guess"]
+    assert spans('password="x9,Kf2!pQ7z"') == [("x9,Kf2!pQ7z", "guess")]
+    assert spans('passphrase: "zorbel quink vantor mibbly"') == [("zorbel quink vantor mibbly", "guess")]
+    assert spans("{'pwd': 'q<8;Zr!4v>Tn&2x', 'n': 1}") == [("q<8;Zr!4v>Tn&2x", "guess")]
+    assert spans('pwd="it\'s k7, Qx!9"') == [("it's k7, Qx!9", "guess")]
+    assert spans(r'pwd="a\"7k, Qx!9z"') == [(r'a\"7k, Qx!9z', "guess")]
+    # An open quote without its match on the line leaves the unquoted form; a matching one elsewhere does not count.
+    assert spans('pwd: "Xk9$mQ2!vL5nZ7, and\nmore"') == [("Xk9$mQ2!vL5nZ7", "guess")]
+    assert spans('password="aaaaaa aaaaaa" x9,Kf2!pQ7z') == []
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text("pasword:= '\"tokenAKI1f" + "é", max_size=60))
 def test_base_spans_do_not_depend_on_the_hints(text):
