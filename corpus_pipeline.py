@@ -7,9 +7,11 @@ return the columns of documents; the last returns doc_id, ids, n_pieces and loss
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusmill.llm import exact_dedup, mixing, near_dedup, pieces, quality
-from corpusmill.llm.common import stored, table
+from corpusmill.llm.common import fresh, stored, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +35,11 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes every document to pieces with merge-dropout."""
-    return pieces.encode_documents(docs).withColumnRenamed("id", "doc_id")
+    """Encodes every document to pieces with merge-dropout. Copies are numbered, so that each draws its own."""
+    (turn,) = fresh(docs, "turn")
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
+    numbered = docs.withColumn(turn, F.row_number().over(same) - 1)
+    return pieces.encode_documents(numbered, copy_col=turn).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

@@ -15,7 +15,7 @@ letter or digit and a punctuation mark that no piece has in this order, all read
 changes no segmentation. With dropout 0 the result is that of the vocabulary's own library.
 
 Cases: null text counts as empty and has no pieces. Texts of any length are encoded whole. A null id draws
-like an empty one. Repeated rows encode alike. An empty table gives an empty result. Extra columns
+like an empty one. Repeated rows encode alike, unless a column numbers the copies. An empty table gives an empty result. Extra columns
 are ignored.
 """
 
@@ -281,9 +281,9 @@ def decode(ids, vocabulary: Vocabulary) -> str:
     return (raw[1:] if raw[:1] == b" " else raw).decode()
 
 
-def encode_documents(docs: DataFrame, id_col="doc_id", text_col="text", vocabulary=VOCABULARY, dropout=DROPOUT, seed=SEED) -> DataFrame:
+def encode_documents(docs: DataFrame, id_col="doc_id", text_col="text", vocabulary=VOCABULARY, dropout=DROPOUT, seed=SEED, copy_col=None) -> DataFrame:
     """One row for each input row: id, ids (array of int), n_pieces and lossless (decoding the ids gave
-    back the text)."""
+    back the text). ``copy_col`` numbers repeated rows from 0, so that they draw apart."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +294,8 @@ def encode_documents(docs: DataFrame, id_col="doc_id", text_col="text", vocabula
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                keys = ["" if i is None else str(i) for i in part.column(0).to_pylist()]
+                copies = part.column(2).to_pylist()
+                keys = [("" if i is None else str(i)) + (f"\x00{c}" if c else "") for i, c in zip(part.column(0).to_pylist(), copies, strict=True)]
                 ids = [encoder(t, k) for t, k in zip(texts, keys, strict=True)]
                 lossless = [decode(np.frombuffer(x, "<i4").tolist(), v) == t for x, t in zip(ids, texts, strict=True)]
                 sizes = [len(x) // 4 for x in ids]
@@ -302,7 +303,8 @@ def encode_documents(docs: DataFrame, id_col="doc_id", text_col="text", vocabula
                 columns = [part.column(0), lists, pa.array(sizes, pa.int32()), pa.array(lossless)]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "n_pieces", "lossless"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, ids array<int>, n_pieces int, lossless boolean")
+    copy = F.col(copy_col).cast("long") if copy_col else F.lit(0).cast("long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), copy.alias("copy")).mapInArrow(run, f"id {id_type}, ids array<int>, n_pieces int, lossless boolean")
 
 
 def decode_documents(encoded: DataFrame, ids_col="ids", vocabulary=VOCABULARY) -> DataFrame:

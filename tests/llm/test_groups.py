@@ -264,6 +264,14 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(rows)
 
 
+def test_copies_of_the_mix_are_encoded_apart(spark):
+    text = "the quick brown foxes jumped over internationalisation " * 20
+    docs = spark.createDataFrame([(1, text)] * 3 + [(1, "other " * 60), (None, text), (None, text)], DOCS)
+    rows = [(r.doc_id, tuple(r.ids)) for r in corpus_pipeline.piece_encoding(spark, docs, "").collect()]
+    again = [(r.doc_id, tuple(r.ids)) for r in corpus_pipeline.piece_encoding(spark, docs.repartition(3), "").collect()]
+    assert len(rows) == len(set(rows)) == 6 and sorted(map(repr, rows)) == sorted(map(repr, again))
+
+
 def exact_dedup_text(t):
     import re
 
