@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a default is set only where the session names none."""
+    """The folder that driver and executors share, as the session names it. Where it names none, a local session
+    gets a folder of its own; on a cluster that would be another folder on each machine, so it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
-        path = "file:///tmp/checkpoints"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        path = f"file://{tempfile.mkdtemp(prefix='corpusmill-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -59,18 +67,68 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def word_bytes(text: bytes | None) -> list[bytes]:
-    """Words of a UTF-8 text. ``bytes.split`` cuts at exactly the white space of the contracts."""
-    return text.split() if text else []
+def slices(batch: pa.RecordBatch, text_column: int, most_bytes: int = 1 << 20, most_rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about ``most_bytes`` of the column's text, one row at least: what Python holds beside
+    a batch does not depend on the batch's size."""
+    column = batch.column(text_column)
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and (held + n > most_bytes or i - start >= most_rows):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def frequent(counts: DataFrame, most: int, order: str = "n") -> DataFrame:
+    """The rows of ``counts`` whose ``n`` reaches a threshold that at most ``most`` rows reach: chosen from a
+    histogram of the values, exact up to 64 and in steps of a 32nd above, so that no task sends its rows to the driver. Words
+    of equal count come together or not at all."""
+    cell = F.when(F.col(order) <= 64, F.col(order)).otherwise(F.floor(F.log2(F.col(order)) * 32) - 128).cast("long")
+    cells = sorted(((r.c, r.k) for r in counts.groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+    at, total = None, 0
+    for c, k in cells:
+        total += k
+        if total > most:
+            break
+        at = c
+    return counts.filter(F.lit(False)) if at is None else counts.filter(cell >= at)
+
+
+#: Size limits, as powers of two, of a bitmap of keys that is broadcast: 8 KB to 64 MB.
+LEAST_BITS, MOST_BITS = 16, 29
+
+
+def key_bitmap(keys: DataFrame, column: Column, n: int) -> np.ndarray:
+    """A bitmap with the bits of all hashes ``column`` (long) set. It has sixteen bits a key, 2**MOST_BITS bits
+    at most, beyond which it lets more through that is not wanted but still misses nothing."""
+    bits = max(LEAST_BITS, min(MOST_BITS, (16 * n).bit_length()))
+    place = column.bitwiseAND((1 << bits) - 1) + 1
+    parts = keys.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+        found = np.frombuffer(bytes(r.bits), np.uint8)
+        out[(r.part - 1) * 4096 : r.part * 4096] = found[: len(out) - (r.part - 1) * 4096]
+    return out
 
 
-def bounded_batches(rows: Iterator, most: int) -> Iterator[list]:
-    """Lists of at most ``most`` items."""
-    held: list = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= most:
-            yield held
-            held = []
-    if held:
-        yield held
+def bitmap_table(keys: DataFrame, column: Column, n: int) -> tuple[DataFrame, int]:
+    """The same as a table (part, bits), of the same bound, for :func:`maybe_among`, and its size as a power of two."""
+    bits = max(LEAST_BITS, min(MOST_BITS, (16 * n).bit_length()))
+    place = column.bitwiseAND((1 << bits) - 1) + 1
+    parts = keys.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit"))
+    return stored(parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")), "bitmap"), bits
+
+
+def maybe_among(rows: DataFrame, column: Column, table: DataFrame, bits: int, name: str) -> DataFrame:
+    """``rows`` with a boolean ``name``: false only if the hash ``column`` (long) is not among the keys."""
+    part, held = fresh(rows, "bitmap_part", "bitmap_bits")
+    place = column.bitwiseAND((1 << bits) - 1) + 1
+    known = F.broadcast(table.select(F.col("part").alias(part), F.col("bits").alias(held)))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col(held), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0
+    joined = rows.join(known, F.bitmap_bucket_number(place) == F.col(part), "left")
+    return joined.select(*rows.columns, F.coalesce(bit, F.lit(False)).alias(name))

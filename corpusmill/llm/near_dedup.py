@@ -9,11 +9,16 @@ theta/W only, about ``k ln k + 2k`` of them however long it is, and keeps the ea
 coordinate with probability equal to their weighted Jaccard similarity.
 
 ``bands`` bands of ``rows`` coordinates make buckets. Equal multisets are one node from the start. In a
-bucket every node is linked to few members picked by hash, never to all; a link counts only after the
-similarity of both full multisets was computed and reaches ``threshold``. Nodes of one bucket that are
-still in different classes are linked again to other members in ``rounds`` further rounds. In buckets that
-hold several classes even then, every pair of nodes of different classes is compared, in blocks. Classes are
-the connected components of the links.
+bucket every node is compared with the bucket's smallest key, its hub: first with the smallest of all its
+hubs, then, where that has not brought the two into one class, with the others. Buckets that hold several classes
+even then are compared completely, every node with all of other classes, so no pair of a bucket is left out. A
+comparison looks at the ``k`` coordinates first, a byte of each, and passes over pairs that agree in six standard
+deviations fewer than pairs at the threshold do; a link counts only after the similarity of both full
+multisets, by 64-bit hashes, was computed and reaches ``threshold``. Classes are the connected components of the links.
+
+Hot buckets: a hub's partners are dealt out to parts of PART links, and its multiset is sent once to each part. In a
+complete comparison the largest class of a bucket is dealt out once and only the members of other classes are
+sent to all its blocks.
 
 Cases: null and empty texts, and texts without words, have no shingles; each is a class of its own.
 Repeated rows and equal texts share a node. A null id sorts before others. An empty table gives an
@@ -27,21 +32,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, stored, table
+from .common import bitmap_table, fresh, key_bitmap, maybe_among, slices, stored, table
 
 K, ROWS, BANDS = 128, 5, 25
-SHINGLE, THRESHOLD, ROUNDS = 5, 0.8, 2
-#: Size of the filter of wanted keys: 8 MB, some 4 million keys at 6 % of false passes.
-FILTER_BITS = 26
-#: Nodes of a block in the complete comparison of a bucket, and regions of a pass of its matrix product.
-BLOCK, COLUMNS = 256, 4096
+SHINGLE, THRESHOLD = 5, 0.8
+#: Links of a part of a hub; nodes of a block by coordinates and by multisets, the latter with so many regions at most.
+PART, SKETCH_BLOCK, SET_BLOCK, SET_REGIONS = 512, 4096, 256, 1 << 20
+#: Possible partners of a node in a piece of a cell that are compared one by one.
+PAIRS = 8
+#: Regions of a pass of a matrix product.
+COLUMNS = 4096
 _U = np.uint64
-#: Words a pass of the signature kernel holds, documents a pass, and weight below which documents are passed apart.
-PASS_WORDS, PASS_DOCS, SMALL = 1 << 19, 1024, 64
+#: Bytes of text and documents of a pass of the signature kernel, and bytes below which documents are passed apart.
+PASS_BYTES, PASS_DOCS, SMALL = 1 << 20, 1024, 384
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -62,12 +70,17 @@ _powers = [np.ones(1, _U), np.ones(1, _U)]
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, _U)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers
+    """Powers of the base and of its inverse; kept for passes of the usual size only."""
+    if len(_powers[0]) >= n:
+        return _powers
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(max(n, 2 * PASS_BYTES), base, _U)
+        steps[0] = 1
+        made.append(np.cumprod(steps))
+    if n <= 2 * PASS_BYTES:
+        _powers[:] = made
+    return made
 
 
 def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -170,109 +183,146 @@ def _keys(d: np.ndarray, e: np.ndarray, docs: int) -> list[bytes | None]:
     return [raw[16 * i : 16 * i + 16] if weight[i] else None for i in range(docs)]
 
 
-def _passes(sizes: list[int]) -> Iterator[list[int]]:
-    """Indices of documents to take together: small ones with small ones, so that the long series of
-    darts that a tiny document needs is walked once for many."""
-    for group in ([i for i, n in enumerate(sizes) if n < SMALL * 6], [i for i, n in enumerate(sizes) if n >= SMALL * 6]):
-        held, size = [], 0
-        for i in group:
-            held.append(i)
-            size += sizes[i]
-            if size > PASS_WORDS * 6 or len(held) >= PASS_DOCS * (4 if sizes[i] < SMALL * 6 else 1):
-                yield held
-                held, size = [], 0
-        if held:
-            yield held
+def sketches(signatures: np.ndarray) -> list[bytes]:
+    """A byte of every coordinate: 128 bytes for a document."""
+    low = np.ascontiguousarray(signatures.astype(np.uint8))
+    return [row.tobytes() for row in low]
+
+
+def least_agreement(threshold: float, k: int) -> int:
+    """Coordinates in which two documents must agree to be compared on their multisets: six standard deviations
+    below what pairs at the threshold agree in."""
+    return max(0, math.floor(k * threshold - 6 * math.sqrt(k * threshold * (1 - threshold))))
+
+
+def _passes(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in passes: small documents with small ones, so that the long series of darts that a tiny
+    document needs is walked once for many."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    for group in (np.flatnonzero(sizes < SMALL), np.flatnonzero(sizes >= SMALL)):
+        ends = np.cumsum(sizes[group])
+        start = 0
+        while start < len(group):
+            before = ends[start - 1] if start else 0
+            stop = min(max(start + 1, int(np.searchsorted(ends, before + PASS_BYTES, "right"))), start + PASS_DOCS * (4 if sizes[group[start]] < SMALL else 1))
+            yield batch.take(pa.array(group[start:stop]))
+            start = stop
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k=K, rows=ROWS, bands=BANDS) -> DataFrame:
-    """id, digest (of the text), key (binary, null without shingles), bands (array of long)."""
+    """id, digest (of the text), key (binary, null without shingles), weight (regions), bands (array of long) and
+    sketch (binary)."""
     schema = docs.select(F.col(id_col).alias("id")).schema.simpleString()[len("struct<") : -1].replace("id:", "id ", 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for chosen in _passes([len(t) if t else 0 for t in texts]):
-                d, e = regions([texts[i] for i in chosen])
-                keys = _keys(d, e, len(chosen))
-                hashes = band_hashes(darts(d, e, len(chosen), k), rows, bands)
-                flat = pa.array(hashes.reshape(-1))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(chosen) + 1, dtype=np.int32) * bands), flat)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(chosen)) for i in (0, 1)), pa.array(keys, pa.binary()), lists], names=["id", "digest", "key", "bands"])
+            for part in _passes(batch, 2):
+                n = part.num_rows
+                d, e = regions(part.column(2).to_pylist())
+                found = darts(d, e, n, k)
+                flat = pa.array(band_hashes(found, rows, bands).reshape(-1))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), flat)
+                made = [pa.array(_keys(d, e, n), pa.binary()), pa.array(np.bincount(d, minlength=n).astype(np.int64)), lists, pa.array(sketches(found), pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names=["id", "digest", "key", "weight", "bands", "sketch"])
 
     given = docs.select(F.col(id_col).alias("id"), digest_of(text_col).alias("digest"), F.encode(F.col(text_col), "UTF-8").alias("text"))
-    return given.mapInArrow(run, f"{schema}, digest string, key binary, bands array<bigint>")
+    return given.mapInArrow(run, f"{schema}, digest string, key binary, weight bigint, bands array<bigint>, sketch binary")
 
 
 def digest_of(text_col: str) -> Column:
     return F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
 
 
-def _bits(wanted: DataFrame) -> np.ndarray:
-    """A bitmap of 2**FILTER_BITS bits, of fixed size, with the bits of all wanted keys set."""
-    place = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long").bitwiseAND((1 << FILTER_BITS) - 1) + 1
-    parts = wanted.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit"))
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
-        out[(r.part - 1) * 4096 : r.part * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-    return out
+def _key_hash() -> Column:
+    return F.conv(F.hex(F.substring("key", 1, 7)), 16, 10).cast("long")
 
 
 def multisets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """key and the sorted 32-bit region hashes of the texts with wanted keys. A broadcast bitmap holds back
-    nearly all others before the shuffle, and a task sends each key once; the join makes it exact."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bits(wanted))
+    """key and the sorted 64-bit region hashes of the texts with wanted keys, a row or more for each. A broadcast
+    bitmap, sized by their number, holds back nearly all others before the shuffle, and a task sends a key rarely twice."""
+    bits = docs.sparkSession.sparkContext.broadcast(key_bitmap(wanted, _key_hash(), wanted.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
         bitmap = bits.value
+        mask = len(bitmap) * 8 - 1
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for chosen in _passes([len(t) if t else 0 for t in texts]):
-                d, e = regions([texts[i] for i in chosen])
-                ends = np.cumsum(np.bincount(d, minlength=len(chosen)))
-                low = (e >> _U(32)).astype(np.uint32)
+            for part in slices(batch, 0, PASS_BYTES, PASS_DOCS):
+                d, e = regions(part.column(0).to_pylist())
+                ends = np.cumsum(np.bincount(d, minlength=part.num_rows))
                 rows = []
-                if len(sent) > 500_000:
+                if len(sent) > 50_000:
                     sent.clear()
-                for i, key in enumerate(_keys(d, e, len(chosen))):
+                for i, key in enumerate(_keys(d, e, part.num_rows)):
                     if key is None or key in sent:
                         continue
-                    place = int.from_bytes(key[:4], "big") & ((1 << FILTER_BITS) - 1)
+                    place = int.from_bytes(key[:7], "big") & mask
                     if bitmap[place >> 3] >> (place & 7) & 1:
                         sent.add(key)
-                        rows.append((key, np.sort(low[ends[i - 1] if i else 0 : ends[i]]).tobytes()))
+                        rows.append((key, np.sort(e[ends[i - 1] if i else 0 : ends[i]]).tobytes()))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], names=["key", "regions"])
+                    yield _binary(rows, ("key", "regions"))
+
+    return docs.select(F.encode(F.col(text_col), "UTF-8").alias("text")).mapInArrow(run, "key binary, regions binary")
 
-    found = docs.select(F.encode(F.col(text_col), "UTF-8").alias("text")).mapInArrow(run, "key binary, regions binary")
-    return found.join(wanted, "key", "left_semi")
+
+def _binary(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], names=list(names))
 
 
 def similarity(a: bytes, b: bytes) -> float:
-    """Weighted Jaccard similarity of two sorted multisets of 32-bit hashes."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    # Turns make regions unique up to hash collisions, so the multisets are sets here.
+    """Weighted Jaccard similarity of two sorted multisets of 64-bit hashes."""
+    x, y = np.frombuffer(a, _U), np.frombuffer(b, _U)
+    # Turns make regions unique, so the multisets are sets here.
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both)
 
 
-def verified(links: DataFrame, docs: DataFrame, text_col: str, threshold: float) -> DataFrame:
-    """The rows (x, y) of ``links`` whose full multisets reach the threshold. Only the keys that occur in
-    links are fetched; a link's partners come by two joins, hot partners dealt out by the skew join."""
-    links = stored(links, "links")
-    wanted = stored(links.select(F.explode(F.array("x", "y")).alias("key")).distinct(), "wanted")
-    sets = multisets(docs, text_col, wanted).groupBy("key").agg(F.first("regions").alias("regions"))
-    sets = stored(sets, "sets")
-    pairs = links.join(sets.toDF("x", "a"), "x").join(sets.toDF("y", "b"), "y")
+def likely(links: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """The rows (x, y) of ``links`` that agree in enough coordinates."""
+    sketch = nodes.select("key", "sketch")
+    pairs = links.join(sketch.toDF("x", "a"), "x").join(sketch.toDF("y", "b"), "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 2):
+                a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(part.num_rows, -1) for c in part.columns[2:])
+                good = (a == b).sum(axis=1) >= least_agreement(threshold, a.shape[1])
+                yield part.filter(pa.array(good)).select([0, 1])
+
+    return pairs.select("x", "y", "a", "b").mapInArrow(run, "x binary, y binary")
+
+
+def verified(links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The rows (x, y) of ``links`` whose full multisets, in ``sets``, reach the threshold. ``x`` is the hub: its
+    partners are dealt out to parts, and a task holds the hub's multiset while its partners' pass by."""
+    links = stored(links, "likely")
+    if not links.take(1):
+        return links
+    parts = links.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).withColumnRenamed("x", "hub")
+    members = links.join(parts, F.col("x") == F.col("hub")).select(F.col("y").alias("k"), "hub", F.pmod(F.xxhash64("y"), "parts").cast("int").alias("part"), F.lit(1).alias("side"))
+    hubs = parts.select(F.col("hub").alias("k"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"))
+    roles = stored(hubs.unionByName(members), "roles")
+    # Only the multisets that have a role, by a bitmap, move at all.
+    bits, size = bitmap_table(roles.withColumnRenamed("k", "key"), _key_hash(), roles.count())
+    asked = maybe_among(sets, _key_hash(), bits, size, "asked").filter("asked")
+    rows = roles.join(asked, F.col("k") == F.col("key")).select("hub", "part", "side", "key", "regions")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, held = None, b""
         for batch in batches:
-            x, y, a, b = (c.to_pylist() for c in batch.columns)
-            good = [i for i in range(len(x)) if similarity(a[i], b[i]) >= threshold]
-            yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in good], pa.binary()) for c in (x, y)], names=["x", "y"])
+            for piece in slices(batch, 4):
+                good = []
+                for x, _, side, key, regions_ in zip(*(c.to_pylist() for c in piece.columns), strict=True):
+                    if not side:
+                        hub, held = x, regions_
+                    elif x == hub and similarity(held, regions_) >= threshold:
+                        good.append((x, key))
+                if good:
+                    yield _binary(good, ("x", "y"))
 
-    return stored(pairs.select("x", "y", "a", "b").mapInArrow(run, "x binary, y binary"), "verified")
+    dealt = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "side")
+    return stored(dealt.mapInArrow(run, "x binary, y binary"), "verified")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -302,19 +352,10 @@ def components(links: DataFrame) -> DataFrame:
     return labels.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def _picked(buckets: DataFrame, picks: list) -> DataFrame:
-    """Links (x, y), once each, of every member of a bucket to the bucket's picked members."""
-    chosen = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[p.alias(f"p{i}") for i, p in enumerate(picks)])
-    chosen = chosen.filter("n > 1").drop("n").withColumnRenamed("bucket", "b")
-    joined = buckets.join(chosen, F.col("bucket") == F.col("b"))
-    to = F.explode(F.array(*[F.col(f"p{i}") for i in range(len(picks))])).alias("p")
-    return joined.select("key", to).filter("key != p").select(F.least("key", "p").alias("x"), F.greatest("key", "p").alias("y")).distinct()
-
-
 def close_pairs(left: list[bytes], right: list[bytes], threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Indices (i, j) of all pairs of sorted multisets that reach the threshold: a matrix product over the
     regions that occur on both sides, some columns at a time."""
-    a, b = ([np.frombuffer(x, np.uint32) for x in side] for side in (left, right))
+    a, b = ([np.frombuffer(x, _U) for x in side] for side in (left, right))
     flat = [np.concatenate(side) for side in (a, b)]
     row = [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (a, b)]
     common = np.intersect1d(*flat)
@@ -335,109 +376,159 @@ def close_pairs(left: list[bytes], right: list[bytes], threshold: float) -> tupl
     return np.nonzero(both / (whole - both) >= threshold)
 
 
-def _spanning(left: list[tuple], right: list[tuple], threshold: float) -> Iterator[tuple[bytes, bytes]]:
-    """Links (x, y) that join all close pairs of different classes among (key, label, regions) of two blocks;
-    pairs that earlier ones have joined are left out."""
-    above: dict[bytes, bytes] = {}
-
-    def root(x: bytes) -> bytes:
-        while x in above:
-            x = above[x]
-        return x
-
-    for i, j in zip(*close_pairs([r[2] for r in left], [r[2] for r in right], threshold), strict=True):
-        x, y = root(left[i][1]), root(right[j][1])
-        if x != y:
-            above[max(x, y)] = min(x, y)
-            yield min(left[i][0], right[j][0]), max(left[i][0], right[j][0])
-
-
-def _complete(buckets: DataFrame, labels: DataFrame, docs: DataFrame, text_col: str, threshold: float) -> DataFrame:
-    """Links (x, y) that join all close pairs of nodes in a bucket that are in different classes. Members are
-    dealt to cells by the logarithm of their size, as close pairs are in one cell or in neighbours, and in a cell
-    to blocks by hash; a group of rows is one block against another. Buckets of up to three nodes have no
-    pair without the smallest or the largest key, with which all were compared."""
-    named = buckets.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    split = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    split = split.filter("lo != hi AND n > 3").select(F.col("bucket").alias("b"), F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
-    open_ = stored(named.join(split, F.col("bucket") == F.col("b")).select("key", "label", "bucket", "blocks"), "split")
-    schema = "x binary, y binary"
-    if not open_.take(1):
-        return docs.sparkSession.createDataFrame([], schema)
-    sets = multisets(docs, text_col, stored(open_.select("key").distinct(), "wanted")).groupBy("key").agg(F.first("regions").alias("regions"))
-    # A little wider than the threshold's ratio, against rounding.
-    ratio = max(-math.log(threshold), 1e-6) * (1 + 1e-9) if threshold > 0 else math.inf
-    size = F.floor(F.log(F.length("regions") / 4) / ratio).cast("long")
-    placed = open_.join(sets, "key").withColumn("size", size).withColumn("own", F.pmod(F.xxhash64("key"), "blocks"))
-    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    part = lambda cell, i, j, side: F.struct(cell.alias("cell"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
-    own, cell = F.col("own"), F.col("size")
-    roles = F.concat(
-        F.transform(every, lambda j: part(cell, own, j, 0)),
-        F.transform(F.filter(every, lambda i: i <= own), lambda i: part(cell, i, own, 1)),
-        F.transform(every, lambda i: part(cell - 1, i, own, 1)),
+def _blocks(rows: DataFrame, size: Column) -> DataFrame:
+    """``rows`` (bucket, key, label, ...), several times each, with cell and side: every two rows of a bucket with
+    different labels are in one cell, on different sides. ``size`` gives a group's number of blocks from its rows. The
+    largest class of a bucket is dealt to blocks once; the others' members meet each of these, and their own blocks
+    each other."""
+    classes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+    top = classes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("classes"))
+    top = top.filter("classes > 1").withColumnRenamed("bucket", "b")
+    marked = rows.join(top, F.col("bucket") == F.col("b")).withColumn("major", F.col("label") == F.col("top"))
+    sizes = classes.join(top, F.col("bucket") == F.col("b")).groupBy("bucket", (F.col("label") == F.col("top")).alias("m")).agg(size.alias("blocks"))
+    sizes = sizes.groupBy(F.col("bucket").alias("s")).agg(F.max(F.when(F.col("m"), F.col("blocks"))).alias("major_blocks"), F.max(F.when(~F.col("m"), F.col("blocks"))).alias("minor_blocks"))
+    marked = marked.join(sizes, F.col("bucket") == F.col("s"))
+    to = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    hashed = F.xxhash64("key")
+    nothing = F.lit(0)
+    own_major, own = F.pmod(hashed, "major_blocks").cast("int"), F.pmod(hashed, "minor_blocks").cast("int")
+    minor = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("major_blocks") - 1), lambda i: to(0, i, nothing, 1)),
+        F.transform(F.sequence(own, F.col("minor_blocks") - 1), lambda j: to(1, own, j, 0)),
+        F.transform(F.sequence(F.lit(0), own), lambda i: to(1, i, own, 1)),
     )
-    group = ["bucket", "cell", "i", "j"]
-    rows = placed.select("bucket", F.explode(roles).alias("r"), "key", "label", "regions").select("bucket", "r.*", "key", "label", "regions")
+    roles = F.when(F.col("major"), F.array(to(0, own_major, nothing, 0))).otherwise(minor)
+    return marked.select(*rows.columns, F.explode(roles).alias("cell")).select(*rows.columns, "cell.*")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sides = None, ([], [])
 
-        def links() -> Iterator[pa.RecordBatch]:
-            if sides[0] and sides[1] and len({r[1] for side in sides for r in side}) > 1:
-                found = list(_spanning(*sides, threshold))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], names=["x", "y"])
+def _compared(rows: DataFrame, payload: str, compare, schema: str, names: tuple[str, ...]) -> DataFrame:
+    """What ``compare`` yields for the cells of :func:`_blocks`: it gets the rows (key, label, payload) of the first
+    side, those of the second side some at a time, and a dictionary that lasts for the cell."""
+    group = ["bucket", "kind", "i", "j"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, left, memo = None, [], {}
         for batch in batches:
-            for *at, side, key, label, regions in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != now:
-                    yield from links()
-                    now, sides = at, ([], [])
-                sides[side].append((key, label, regions))
-        yield from links()
-
-    found = rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, schema)
-    return stored(found.distinct(), "complete")
-
-
-def near_classes(docs: DataFrame, id_col="doc_id", text_col="text", threshold=THRESHOLD, k=K, rows=ROWS, bands=BANDS, rounds=ROUNDS) -> DataFrame:
+            for piece in slices(batch, 7):
+                found, right = [], []
+                for *at, side, key, label, held in zip(*(c.to_pylist() for c in piece.columns), strict=True):
+                    if at != now:
+                        if left and right:
+                            found += compare(now[0], left, right, memo)
+                        now, left, right, memo = at, [], [], {}
+                    (right if side else left).append((key, label, held))
+                if left and right:
+                    found += compare(now[0], left, right, memo)
+                if found:
+                    columns = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(names))
+
+    dealt = rows.select(*group, "side", "key", "label", payload).repartition(*group).sortWithinPartitions(*group, "side")
+    return dealt.mapInArrow(run, schema)
+
+
+def _alike(threshold: float):
+    """Compares sketches: (bucket, x, y) of the pairs of different classes that may be close. Where there are more
+    than PAIRS for a node of a cell's piece, (bucket, key, null) of their ends instead, so what is made stays
+    in proportion to the rows."""
+
+    def compare(bucket: int, left: list[tuple], right: list[tuple], memo: dict) -> list[tuple]:
+        if "left" not in memo:
+            memo["left"] = np.frombuffer(b"".join(r[2] for r in left), np.uint8).reshape(len(left), -1)
+            memo["labels"], memo["sent"] = np.array([r[1] for r in left], object), set()
+        a, labels = memo["left"], memo["labels"]
+        least, pairs, ends = least_agreement(threshold, a.shape[1]), [], set()
+        for key, label, sketch in right:
+            near = (a == np.frombuffer(sketch, np.uint8)).sum(axis=1) >= least
+            if near.any():
+                others = np.flatnonzero(near & (labels != label))
+                if len(others) > PAIRS:
+                    ends.add(key)
+                    ends.update(left[i][0] for i in others)
+                else:
+                    pairs += [(bucket, min(key, left[i][0]), max(key, left[i][0])) for i in others]
+        new = ends - memo["sent"]
+        memo["sent"] |= new
+        return pairs + [(bucket, key, None) for key in sorted(new)]
+
+    return compare
+
+
+def _spanning(threshold: float):
+    """Compares multisets: links that join all close pairs of different classes; pairs that earlier links of
+    the cell have joined are left out."""
+
+    def compare(bucket: int, left: list[tuple], right: list[tuple], above: dict) -> list[tuple]:
+        def root(x: bytes) -> bytes:
+            while x in above:
+                x = above[x]
+            return x
+
+        found = []
+        for i, j in zip(*close_pairs([r[2] for r in left], [r[2] for r in right], threshold), strict=True):
+            x, y = root(left[i][1]), root(right[j][1])
+            if x != y:
+                above[max(x, y)] = min(x, y)
+                found.append((min(left[i][0], right[j][0]), max(left[i][0], right[j][0])))
+        return found
+
+    return compare
+
+
+def _complete(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (x, y) that join all close pairs of different classes that share a bucket. Hubs are left out: they
+    were compared with all members of their buckets. Sketches tell which pairs may be close; where these are few
+    for a node they are compared one by one, else all such nodes of a bucket in blocks."""
+    named = members.filter("n > 2 AND key != hub").select("bucket", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    split = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select(F.col("bucket").alias("b"))
+    open_ = stored(named.join(split, F.col("bucket") == F.col("b"), "left_semi").select("bucket", "key", "label"), "split")
+    if not open_.take(1):
+        return open_.select(F.col("key").alias("x"), F.col("key").alias("y"))
+    sized = open_.join(nodes.select("key", "weight", "sketch"), "key")
+    cells = _blocks(sized, F.ceil(F.sum("n") / SKETCH_BLOCK).cast("int"))
+    near = stored(_compared(cells, "sketch", _alike(threshold), "bucket bigint, x binary, y binary", ("bucket", "x", "y")), "alike")
+    links = verified(near.filter("y IS NOT NULL").select("x", "y").distinct(), sets, threshold)
+    dense = near.filter("y IS NULL").select("bucket", F.col("x").alias("key")).distinct()
+    dense = stored(dense.join(sized.drop("sketch"), ["bucket", "key"]), "dense")
+    if not dense.take(1):
+        return links
+    number = F.ceil(F.greatest(F.sum("n") / SET_BLOCK, F.sum("weight") / SET_REGIONS)).cast("int")
+    cells = _blocks(dense.join(sets, "key"), number)
+    found = _compared(cells, "regions", _spanning(threshold), "x binary, y binary", ("x", "y"))
+    return links.unionByName(stored(found.distinct(), "complete"))
+
+
+def near_classes(docs: DataFrame, id_col="doc_id", text_col="text", threshold=THRESHOLD, k=K, rows=ROWS, bands=BANDS) -> DataFrame:
     """One row for each input row: id, class_id (the smallest id in its class), class_size, copies (rows
-    with an equal multiset), links (checked links from its node to other nodes), digest (MD5 of the text) and
-    kept (it is the class's row with the smallest id, of equal ids that with the smallest digest)."""
+    with an equal multiset), digest (MD5 of the text) and kept (it is the class's row with the smallest id, of equal
+    ids that with the smallest digest)."""
     signed = stored(signatures(docs, id_col, text_col, k, rows, bands), "signatures")
     found = signed.filter("key IS NOT NULL")
-    # Equal multisets have equal bands: any of the rows speaks for the node.
-    nodes = stored(found.groupBy("key").agg(F.min(F.struct("id", "digest")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "nodes")
+    # Equal multisets have equal bands and sketches: any of the rows speaks for the node.
+    any_of = [F.first(c).alias(c) for c in ("weight", "bands", "sketch")]
+    nodes = stored(found.groupBy("key").agg(F.min(F.struct("id", "digest")).alias("first"), F.count(F.lit(1)).alias("copies"), *any_of), "nodes")
     buckets = nodes.select("key", F.explode("bands").alias("bucket"))
-    links = verified(_picked(buckets, [F.min("key"), F.max("key")]), docs, text_col, threshold)
+    hubs = buckets.groupBy("bucket").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("bucket", "b")
+    members = stored(buckets.join(hubs, F.col("bucket") == F.col("b")).drop("b"), "members")
+    pairs = members.filter("key != hub").select(F.col("hub").alias("x"), F.col("key").alias("y")).distinct()
+    candidates = stored(likely(pairs, nodes, threshold), "candidates")
+    # The one further pass over the texts: multisets of all nodes that share a bucket.
+    sets = multisets(docs, text_col, members.select("key").distinct()).groupBy("key").agg(F.first("regions").alias("regions"))
+    sets = stored(sets, "sets")
+    first = stored(candidates.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "first")
+    links = verified(first, sets, threshold)
     labels = stored(components(links), "labels")
-    tried = None
-    for turn in range(rounds):
-        named = buckets.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        split = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select(F.col("bucket").alias("b"))
-        open_ = stored(named.join(split, F.col("bucket") == F.col("b"), "left_semi").select("key", "bucket"), "open")
-        by = F.xxhash64(F.col("key"), F.lit(turn))
-        more = _picked(open_, [F.min_by("key", by), F.max_by("key", by)])
-        l1, l2 = labels.toDF("x", "lx"), labels.toDF("y", "ly")
-        more = more.join(l1, "x", "left").join(l2, "y", "left").filter(F.coalesce("lx", "x") != F.coalesce("ly", "y")).select("x", "y")
-        if tried is not None:
-            more = more.join(tried, ["x", "y"], "left_anti")
-        more = stored(more, "more")
-        if not more.take(1):
-            break
-        tried = more if tried is None else tried.unionByName(more)
-        links = links.unionByName(verified(more, docs, text_col, threshold))
-        labels = stored(components(links), "labels")
-    more = _complete(buckets, labels, docs, text_col, threshold)
+    l1, l2 = labels.toDF("x", "lx"), labels.toDF("y", "ly")
+    apart = candidates.join(first, ["x", "y"], "left_anti").join(l1, "x", "left").join(l2, "y", "left")
+    apart = apart.filter(F.coalesce("lx", "x") != F.coalesce("ly", "y")).select("x", "y")
+    links = links.unionByName(verified(apart, sets, threshold))
+    labels = stored(components(links), "labels")
+    more = _complete(members, labels, nodes, sets, threshold)
     if more.take(1):
-        links = links.unionByName(more)
-        labels = stored(components(links), "labels")
-    ends = links.distinct().select(F.explode(F.array("x", "y")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("links"))
+        labels = stored(components(links.unionByName(more)), "labels")
     node = nodes.select("key", "first", "copies").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     classes = node.groupBy("label").agg(F.min("first").alias("chief"), F.sum("copies").alias("class_size"))
-    node = node.join(classes, "label").join(ends.withColumnRenamed("n", "key"), "key", "left")
-    node = stored(node.select(F.col("key").alias("k"), "chief", "class_size", "copies", F.coalesce("links", F.lit(0)).alias("links")), "classes")
+    node = stored(node.join(classes, "label").select(F.col("key").alias("k"), "chief", "class_size", "copies"), "classes")
     out = signed.select("id", "digest", "key").join(node, F.col("key") == F.col("k"), "left")
     none = F.col("key").isNull()
     one = F.lit(1).cast("long")
@@ -446,19 +537,26 @@ def near_classes(docs: DataFrame, id_col="doc_id", text_col="text", threshold=TH
         F.when(none, F.col("id")).otherwise(F.col("chief.id")).alias("class_id"),
         F.when(none, one).otherwise(F.col("class_size")).alias("class_size"),
         F.when(none, one).otherwise(F.col("copies")).alias("copies"),
-        F.when(none, F.lit(0).cast("long")).otherwise(F.col("links")).alias("links"),
         "digest",
         (none | (F.col("id").eqNullSafe(F.col("chief.id")) & (F.col("digest") == F.col("chief.digest")))).alias("kept"),
     )
 
 
 def near_dedup(docs: DataFrame, id_col="doc_id", text_col="text", **params) -> DataFrame:
-    """``docs`` with one document of each class, with its own columns. Rows equal in id and text count once."""
-    c, g, own, n = fresh(docs, "near_id", "near_digest", "near_own", "near_turn")
-    kept = near_classes(docs, id_col, text_col, **params).filter("kept").select(F.col("id").alias(c), F.col("digest").alias(g)).distinct()
+    """``docs`` with one document of each class, with its own columns. Rows equal in id and text count once. Only
+    rows that may be dropped, by a bitmap of those that are, move through a shuffle; the others stay where they are."""
+    own, flag, c, g, n = fresh(docs, "near_own", "near_flag", "near_id", "near_digest", "near_turn")
+    decided = near_classes(docs, id_col, text_col, **params).groupBy("id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    decided = stored(decided, "decided")
+    doubtful = decided.filter("n > 1 OR NOT kept")
+    bits, size = bitmap_table(doubtful, F.xxhash64("id", "digest"), doubtful.count())
     rows = docs.withColumn(own, digest_of(text_col))
-    rows = rows.join(kept, rows[id_col].eqNullSafe(kept[c]) & (rows[own] == kept[g]), "left_semi")
-    return rows.withColumn(n, F.row_number().over(Window.partitionBy(id_col, own).orderBy(F.lit(1)))).filter(F.col(n) == 1).select(*docs.columns)
+    rows = maybe_among(rows, F.xxhash64(id_col, own), bits, size, flag)
+    kept = decided.filter("kept").select(F.col("id").alias(c), F.col("digest").alias(g))
+    met = rows.filter(flag)
+    met = met.join(kept, met[id_col].eqNullSafe(kept[c]) & (met[own] == kept[g]), "left_semi")
+    met = met.withColumn(n, F.row_number().over(Window.partitionBy(id_col, own).orderBy(F.lit(1)))).filter(F.col(n) == 1)
+    return rows.filter(~F.col(flag)).select(*docs.columns).unionByName(met.select(*docs.columns))
 
 
 def op7_near_dedup(spark, sf_dir):

@@ -111,8 +111,8 @@ def test_twins_inside_one_boilerplate_family(spark):
 def test_close_pairs_equal_single_comparisons(monkeypatch, columns):
     monkeypatch.setattr(near_dedup, "COLUMNS", columns)
     rng = np.random.default_rng(4)
-    sets = [np.unique(rng.choice(60, rng.integers(1, 60), replace=False)).astype(np.uint32).tobytes() for _ in range(80)]
-    sets += [np.arange(1000 + i, 1004 + i, dtype=np.uint32).tobytes() for i in range(3)]
+    sets = [np.unique(rng.choice(60, rng.integers(1, 60), replace=False)).astype(np.uint64).tobytes() for _ in range(80)]
+    sets += [np.arange(1000 + i, 1004 + i, dtype=np.uint64).tobytes() for i in range(3)]
     got = set(zip(*(x.tolist() for x in near_dedup.close_pairs(sets[:50], sets[30:], 0.5)), strict=True))
     assert got == {(i, j) for i, a in enumerate(sets[:50]) for j, b in enumerate(sets[30:]) if near_dedup.similarity(a, b) >= 0.5}
 
