@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, fresh, stored, table, text_of
+from .common import SPACE, bitmap_table, fresh, maybe_among, stored, table, text_of
 
 COUNTERS = 1024
 
@@ -88,15 +88,9 @@ def exact_groups(
     rows = _digests(docs, id_col, text_col)
     winners = hot_winners(rows, counters)
     hot = rows.join(winners, "digest")
-    group = Window.partitionBy("digest")
-    rest = rows.join(winners, "digest", "left_anti").select(
-        "digest",
-        "row",
-        "id",
-        F.min(F.struct("id", "row")).over(group).alias("first"),
-        F.count(F.lit(1)).over(group).alias("group_size"),
-    )
-    return hot.unionByName(rest).select(
+    rest = rows.join(winners, "digest", "left_anti")
+    groups = rest.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    return hot.unionByName(rest.join(groups, "digest")).select(
         "row",
         "id",
         "digest",
@@ -107,16 +101,23 @@ def exact_groups(
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """``docs`` without the later copies, with its own columns. The losers of frequent digests are
-    dropped map-side; only the other texts are shuffled, once, by digest."""
-    digest, turn, keep = fresh(docs, "dedup_digest", "dedup_turn", "dedup_keep")
-    winners = hot_winners(_digests(docs, id_col, text_col), counters)
+    """``docs`` without the later copies, with its own columns. Texts without a copy, by a bitmap of the digests that have
+    some, stay where they are, and the losers of frequent digests are dropped map-side; only the other texts are
+    shuffled, once, by digest."""
+    digest, turn, keep, flag = fresh(docs, "dedup_digest", "dedup_turn", "dedup_keep", "dedup_flag")
+    rows = _digests(docs, id_col, text_col)
+    winners = hot_winners(rows, counters)
+    rest = rows.join(winners, "digest", "left_anti").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    several = stored(winners.select("digest").unionByName(rest.select("digest")), "several")
+    bits, size = bitmap_table(several, F.xxhash64("digest"), several.count())
     winners = F.broadcast(winners.select(F.col("digest").alias(digest), F.col("first.id").alias(keep)))
-    own = docs.withColumn(digest, digest_of(text_col))
-    hot = own.join(winners, digest).filter(F.col(id_col).eqNullSafe(F.col(keep))).drop(keep)
-    rest = own.join(winners, digest, "left_anti")
+    own = maybe_among(docs.withColumn(digest, digest_of(text_col)), F.xxhash64(digest), bits, size, flag)
+    met = own.filter(flag)
+    hot = met.join(winners, digest).filter(F.col(id_col).eqNullSafe(F.col(keep))).drop(keep)
+    cold = met.join(winners, digest, "left_anti")
     first = Window.partitionBy(digest).orderBy(id_col)
-    return hot.unionByName(rest).withColumn(turn, F.row_number().over(first)).filter(F.col(turn) == 1).select(*docs.columns)
+    left = hot.unionByName(cold).withColumn(turn, F.row_number().over(first)).filter(F.col(turn) == 1)
+    return own.filter(~F.col(flag)).select(*docs.columns).unionByName(left.select(*docs.columns))
 
 
 def op6_exact_dedup(spark, sf_dir):

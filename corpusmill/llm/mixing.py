@@ -8,8 +8,8 @@ runs through size classes in order, the mix takes its share of every document le
 the words taken near the target.
 
 Cases: null text has size 0; a null source is a source of its own, ordered last; sources of size 0
-have target 0 and give nothing. Ties of id and size are settled by neither: such rows share a
-cell, and only their order in it is free. An empty table gives an empty result.
+have target 0 and give nothing. Rows of equal id and size are ordered by a hash of their texts, so which of
+them is taken does not change between runs; rows equal in all three are alike. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -101,11 +101,11 @@ def _starts(sized: DataFrame, weights, most: int) -> DataFrame:
 
 
 def _placed(rows: DataFrame, starts: DataFrame, names: tuple[str, ...], most: int, seed: str) -> DataFrame:
-    """``rows`` with their copies; names: id, source, size, class, cell, place, and a prefix for the
+    """``rows`` with their copies; names: id, source, size, text hash, class, cell, place, and a prefix for the
     columns of ``starts``. One shuffle of the rows, by cell."""
-    id_col, source, size, klass, cell, place, p = names
+    id_col, source, size, tie, klass, cell, place, p = names
     starts = starts.toDF(*[f"{p}{c}" for c in starts.columns])
-    rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(source, klass, cell).orderBy(size, id_col)))
+    rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(source, klass, cell).orderBy(size, id_col, tie)))
     on = rows[source].eqNullSafe(starts[f"{p}source"]) & (rows[klass] == starts[f"{p}class"]) & (rows[cell] == starts[f"{p}cell"])
     joined = rows.join(starts, on)
     step = F.when(F.col(f"{p}source_size") > 0, F.col(f"{p}target") / F.col(f"{p}source_size")).otherwise(F.lit(0.0))
@@ -117,19 +117,19 @@ def _placed(rows: DataFrame, starts: DataFrame, names: tuple[str, ...], most: in
 
 def copies(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, most=MOST_COPIES, seed=SEED) -> DataFrame:
     """One row for each input row: id, source, size, source_size, target and copies."""
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_of(text_col)).alias("size"))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_of(text_col)).alias("size"), F.xxhash64(text_col).alias("tie"))
     sized = stored(_classed(sized, "id", "size", "class", "cell", seed), "sizes")  # the one pass over the texts
-    placed = _placed(sized, _starts(sized, weights, most), ("id", "source", "size", "class", "cell", "place", "p_"), most, seed)
+    placed = _placed(sized, _starts(sized, weights, most), ("id", "source", "size", "tie", "class", "cell", "place", "p_"), most, seed)
     return placed.select("id", "source", "size", F.col("p_source_size").alias("source_size"), F.col("p_target").alias("target"), F.col("p_copies").alias("copies"))
 
 
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, most=MOST_COPIES, seed=SEED) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it, with its own columns."""
-    size, klass, cell, place, p = fresh(docs, "mix_size", "mix_class", "mix_cell", "mix_place", "mix_p_")
+    size, tie, klass, cell, place, p = fresh(docs, "mix_size", "mix_tie", "mix_class", "mix_cell", "mix_place", "mix_p_")
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_of(text_col)).alias("size"))
     starts = _starts(_classed(sized, "id", "size", "class", "cell", seed), weights, most)
-    own = _classed(docs.withColumn(size, word_count(text_of(text_col))), id_col, size, klass, cell, seed)
-    placed = _placed(own, starts, (id_col, source_col, size, klass, cell, place, p), most, seed).filter(F.col(f"{p}copies") > 0)
+    own = _classed(docs.withColumn(size, word_count(text_of(text_col))).withColumn(tie, F.xxhash64(text_col)), id_col, size, klass, cell, seed)
+    placed = _placed(own, starts, (id_col, source_col, size, tie, klass, cell, place, p), most, seed).filter(F.col(f"{p}copies") > 0)
     each = placed.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{p}copies"))).alias(place))
     return each.select(*docs.columns)
 

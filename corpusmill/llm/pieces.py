@@ -34,10 +34,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, REMEMBER = 0.1, 17, 400_000
+DROPOUT, SEED, REMEMBER = 0.1, 17, 250_000
 MARK = "▁"
 #: Stands for a space mark that the text itself holds; a lone surrogate, which no text can hold.
 OWN_MARK = "\udc81"
@@ -51,12 +51,12 @@ _MASK = (1 << _BITS) - 1
 
 
 class Vocabulary:
-    """Pieces and ranks of a model file."""
+    """Pieces and ranks of a model: a file's path, or its bytes."""
 
-    def __init__(self, path: str = VOCABULARY):
+    def __init__(self, model: str | bytes = VOCABULARY):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        sp = sentencepiece.SentencePieceProcessor(**({"model_file": model} if isinstance(model, str) else {"model_proto": model}))
         ids = range(sp.get_piece_size())
         self.unknown = sp.unk_id()
         self.byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in ids if sp.is_byte(i)}
@@ -281,18 +281,23 @@ def decode(ids, vocabulary: Vocabulary) -> str:
     return (raw[1:] if raw[:1] == b" " else raw).decode()
 
 
+def _model_bytes(rows: DataFrame, path: str):
+    """The driver's model file, sent to the executors: the path need not exist there."""
+    with open(path, "rb") as file:
+        return rows.sparkSession.sparkContext.broadcast(file.read())
+
+
 def encode_documents(docs: DataFrame, id_col="doc_id", text_col="text", vocabulary=VOCABULARY, dropout=DROPOUT, seed=SEED, copy_col=None) -> DataFrame:
     """One row for each input row: id, ids (array of int), n_pieces and lossless (decoding the ids gave
     back the text). ``copy_col`` numbers repeated rows from 0, so that they draw apart."""
     id_type = docs.schema[id_col].dataType.simpleString()
+    model = _model_bytes(docs, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(vocabulary)
+        v = Vocabulary(model.value)
         encoder = Encoder(v, dropout, seed)
         for batch in batches:
-            # Slices bound what is held beside the batch; its rows may be long.
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for part in slices(batch, 1):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 copies = part.column(2).to_pylist()
                 keys = [("" if i is None else str(i)) + (f"\x00{c}" if c else "") for i, c in zip(part.column(0).to_pylist(), copies, strict=True)]
@@ -309,9 +314,11 @@ def encode_documents(docs: DataFrame, id_col="doc_id", text_col="text", vocabula
 
 def decode_documents(encoded: DataFrame, ids_col="ids", vocabulary=VOCABULARY) -> DataFrame:
     """``encoded`` with a column ``decoded``; null ids give null."""
+    model = _model_bytes(encoded, vocabulary)
+
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        v = Vocabulary(vocabulary)
+        v = Vocabulary(model.value)
         for ids in batches:
             yield ids.map(lambda x: None if x is None else decode(list(x), v))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, table
+from .common import fresh, slices, stored, table
 
 BITS, MAX_ROWS, STEPS, RATE, DECAY, LEAST = 18, 16_384, 200, 0.05, 1e-3, 8
 GRADES = 3
@@ -51,13 +51,13 @@ class Features:
         self.bits, self.words, self.shapes = bits, {}, {}
 
     def _word(self, w: bytes) -> int:
-        if len(self.words) > 400_000:
+        if len(self.words) > 60_000:
             self.words.clear()
         h = self.words[w] = _hash(b"w" + w.lower().strip(_EDGES), self.bits)
         return h
 
     def _shape(self, w: bytes) -> int:
-        if len(self.shapes) > 400_000:
+        if len(self.shapes) > 60_000:
             self.shapes.clear()
         h = self.shapes[w] = _hash(b"s" + _RUNS.sub(rb"\1", w.translate(_SHAPE)), self.bits)
         return h
@@ -153,16 +153,18 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col="doc_id", text_col="text", m
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(bits)
         for batch in batches:
-            raw = [np.sort(features(t)).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], names=["rated", "grade", "places"])
+            for part in slices(batch, 2):
+                raw = [np.sort(features(t)).tobytes() for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(raw, pa.binary())], names=["rated", "grade", "places"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
     # At most max_rows rows, hence a proven bound for the broadcast.
     rated = texts.join(F.broadcast(chosen), texts["id"] == chosen["rated"]).select("rated", "grade", "text")
     id_type = ratings.schema["rated"].dataType.simpleString()
     made = stored(rated.mapInArrow(run, f"rated {id_type}, grade int, places binary"), "features")
-    # Repeated documents could exceed the bound; the fit takes max_rows again.
-    rows = sorted(((str(r.rated), r.grade, bytes(r.places)) for r in made.limit(max_rows).toLocalIterator()))
+    # Repeated documents could exceed the bound; the fit takes the first max_rows again, in the same order.
+    order = F.xxhash64(F.col("rated").cast("string"))
+    rows = sorted(((str(r.rated), r.grade, bytes(r.places)) for r in made.orderBy(order, "rated", "grade", "places").limit(max_rows).toLocalIterator()))
     return train([np.frombuffer(p, np.int32) for _, _, p in rows], np.array([g for _, g, _ in rows], int), bits, **params)
 
 
@@ -175,19 +177,15 @@ def grade_documents(docs: DataFrame, model: Ordinal, id_col="doc_id", text_col="
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(shared.value.bits)
         for batch in batches:
-            tails = _tails(shared.value, features, batch.column(1).to_pylist())
-            columns = [pa.array(tails.sum(axis=1)), pa.array(tails[:, 0]), pa.array(tails[:, 1]), pa.array(tails[:, 1] >= keep_from)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "expected_grade", "tail_1", "tail_2", "kept"])
+            for part in slices(batch, 1):
+                tails = shared.value.tails([features(t) for t in part.column(1).to_pylist()])
+                columns = [pa.array(tails.sum(axis=1)), pa.array(tails[:, 0]), pa.array(tails[:, 1]), pa.array(tails[:, 1] >= keep_from)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "expected_grade", "tail_1", "tail_2", "kept"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
     return texts.mapInArrow(run, f"id {id_type}, expected_grade double, tail_1 double, tail_2 double, kept boolean")
 
 
-def _tails(model: Ordinal, features: Features, texts: list[bytes | None]) -> np.ndarray:
-    parts = [model.tails([features(t) for t in texts[i : i + 256]]) for i in range(0, len(texts), 256)]
-    return np.concatenate(parts) if parts else np.zeros((0, GRADES - 1))
-
-
 def select_documents(docs: DataFrame, model: Ordinal, text_col="text", keep_from=KEEP_FROM) -> DataFrame:
     """The rows of ``docs`` whose chance of the top grade reaches ``keep_from``, with its own columns, in one
     pass without a join."""
@@ -197,9 +195,10 @@ def select_documents(docs: DataFrame, model: Ordinal, text_col="text", keep_from
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(shared.value.bits)
         for batch in batches:
-            tails = _tails(shared.value, features, batch.column(batch.num_columns - 1).to_pylist())
-            kept = batch.filter(pa.array(tails[:, 1] >= keep_from))
-            yield kept.select(range(batch.num_columns - 1))
+            last = batch.num_columns - 1
+            for part in slices(batch, last):
+                tails = shared.value.tails([features(t) for t in part.column(last).to_pylist()])
+                yield part.select(range(last)).filter(pa.array(tails[:, 1] >= keep_from))
 
     return docs.withColumn(name, F.encode(F.col(text_col), "UTF-8")).mapInArrow(run, schema)
 

@@ -15,10 +15,12 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -32,33 +34,39 @@ INDEX = "file string, offset long, length long, url string, digest string, recor
 RECORD = "id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 #: Ranges closer than GAP are read together, up to MOST bytes a read.
 GAP, MOST = 64 * 1024, 8 * 1024 * 1024
+#: Compressed bytes of records that a reading task is given.
+TASK_BYTES = 4 * 1024 * 1024
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _clean(value: str | None) -> str:
-    """A header value on one line: controls and '%' are percent-escaped, undone by _value."""
-    return re.sub(r"[\x00-\x1f\x7f-\x9f\u2028\u2029%]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value or "")
+_CONTROLS = re.compile(r"[\x00-\x1f\x7f-\x9f\u2028\u2029]|^ | $")
 
 
-def _value(header: str) -> str:
-    return re.sub(r"(?:%[0-9A-F]{2})+", lambda m: bytes.fromhex(m[0].replace("%", "")).decode(), header)
+def _clean(value: str | None) -> str:
+    """A header value on one line: controls, and spaces at its ends, are percent-escaped; all else stands as it is."""
+    return _CONTROLS.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value or "")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One uncompressed WARC/1.1 record. A revisit has no body; its referent's id and the full
-    payload's length stand in its header."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, name: str = "", date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """One uncompressed WARC/1.1 record. ``name`` makes its record id unique where page ids repeat. A revisit has no
+    body; its referent's page id and the full payload's length stand in its header."""
     body = b"" if refers_to is not None else payload
     heads = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
+        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{name}')}>"),
+        ("WARC-Date", date),
         ("WARC-Target-URI", _clean(url)),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("X-Payload-Length", str(len(payload))),
     ]
+    if page_id is not None:
+        heads.append(("X-Page-ID", str(page_id)))
     if url is None:
         heads.append(("X-Target-URI-Missing", "true"))
+    elif url != _clean(url):  # the page's own spelling, for an exact round trip
+        heads.append(("X-Target-URI-UTF8", url.encode().hex()))
     if refers_to is not None:
-        heads += [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", REVISIT_PROFILE)]
+        heads += [("X-Refers-To-Page-ID", str(refers_to)), ("WARC-Profile", REVISIT_PROFILE)]
     heads += [("Content-Type", "application/octet-stream"), ("Content-Length", str(len(body)))]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in heads) + "\r\n"
     return head.encode() + body + b"\r\n\r\n"
@@ -106,6 +114,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _filesystem(folder)
         out, name, at = None, f"{uuid.uuid4().hex}.warc.gz", 0
+        date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
         try:
             for batch in batches:
                 rows: list[tuple] = []
@@ -114,7 +123,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
                         fs.create_dir(base, recursive=True)
                         out = fs.open_output_stream(f"{base}/{name}", compression=None)
                     pack = zlib.compressobj(4, zlib.DEFLATED, 31)
-                    member = pack.compress(record(page_id, url, payload, digest, refers_to)) + pack.flush()
+                    member = pack.compress(record(page_id, url, payload, digest, refers_to, f"{name}/{at}", date)) + pack.flush()
                     out.write(member)
                     rows.append((name, at, len(member), url, digest, "response" if refers_to is None else "revisit", page_id))
                     at += len(member)
@@ -180,22 +189,25 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> Da
         if rows:
             yield _batch(rows, RECORD)
 
-    places = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # As many tasks as the ranges' bytes ask for; the index itself is small.
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first().n
+    tasks = max(1, math.ceil(size / TASK_BYTES))
+    places = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return places.mapInArrow(read, RECORD)
 
 
 def _row(heads: dict[str, str], body: bytes, with_payload: bool) -> tuple:
-    ident = lambda v: int(m) if (m := v[len("<urn:page:") : -1]) else None
+    number = lambda name: int(heads[name]) if name in heads else None
     kind, digest = heads["WARC-Type"], heads["WARC-Payload-Digest"].removeprefix("sha1:")
     if kind == "response":
         n, found = len(body), hashlib.sha1(body).hexdigest()
         if found != digest:
             raise ValueError(f"payload of {heads['WARC-Record-ID']} has SHA-1 {found}, not {digest}")
     else:
-        n = int(heads["X-Payload-Length"])
-    url = None if heads.get("X-Target-URI-Missing") else _value(heads["WARC-Target-URI"])
-    refers = ident(heads["WARC-Refers-To"]) if "WARC-Refers-To" in heads else None
-    return ident(heads["WARC-Record-ID"]), url, kind, n, digest, refers, body if with_payload and kind == "response" else None
+        n = number("X-Payload-Length")
+    own = heads.get("X-Target-URI-UTF8")
+    url = None if "X-Target-URI-Missing" in heads else bytes.fromhex(own).decode() if own else heads["WARC-Target-URI"]
+    return number("X-Page-ID"), url, kind, n, digest, number("X-Refers-To-Page-ID"), body if with_payload and kind == "response" else None
 
 
 def op10_warc(spark, sf_dir):

@@ -255,9 +255,9 @@ def test_every_occurrence_draws_its_own_dropout(vocabulary):
 
 
 @settings(max_examples=200, deadline=None)
-@given(word=st.text("abcdest▁", min_size=1, max_size=30), key=st.integers(0, 1 << 60), dropout=st.sampled_from([0.0, 0.3]))
+@given(word=st.text("abcdest▁", min_size=1, max_size=30), key=st.integers(0, 1 << 60), dropout=st.sampled_from([0.0, 0.1, 0.3, 0.5, 0.9]))
 def test_list_and_heap_agendas_agree(vocabulary, word, key, dropout):
-    args = (word, vocabulary.cost, vocabulary.salt, key, int(dropout * (1 << 64)))
+    args = (word, vocabulary.cost, vocabulary.salt, key, int(dropout * (1 << pieces._BITS)))
     assert pieces.merge(*args) == pieces._merge_long(*args)
 
 
