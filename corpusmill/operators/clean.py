@@ -31,14 +31,15 @@ def clean_articles(
     if config.convert and not table:
         raise ValueError("conversion is enabled but no conversion table is given")
     source = F.col(text_col) if raw is None else raw
-    # One Arrow step prepares the text; all else is expressions on its result.
-    step = articles.withColumn("_prepared", T.prepared(source, config.rounds))
-    step = step.withColumn("_bare", T.empty_parens(T.strip_invisible(F.col("_prepared.text")), config.rounds))
+    # Only normal forms and references need Arrow steps, and only in texts that can hold any.
+    step = articles.withColumn("_raw", T.fold_newlines(T.nfc(source)))
+    step = step.withColumn("_plain", T.conversion_markup(T.strip_tags(T.unescape(F.col("_raw"))), config.rounds))
+    step = step.withColumn("_bare", T.empty_parens(T.strip_invisible(F.col("_plain")), config.rounds))
     step = step.withColumn("_body", T.paragraphs_of(T.clean_lines(F.col("_bare"), config.heading_chars)))
     step = step.withColumn("_size", T.effective_length(F.col("_body")))
     reason = (
         F.when(source.isNull() | (F.regexp_replace(source, T.WS, "") == ""), "empty")
-        .when(F.col("_prepared.redirect"), "redirect")
+        .when(F.col("_raw").rlike(T.REDIRECT), "redirect")
         .when(F.col("_bare").rlike(T.MAGIC_WORD), "magic")
         .when(F.col("_bare").rlike(T.REDIRECT), "late_redirect")
         .when(F.col("_body").rlike(T.STUB) & (F.col("_size") < config.stub_chars), "stub")
@@ -49,20 +50,26 @@ def clean_articles(
         body = T.convert_variants(body, table)
     step = step.withColumn("drop_reason", reason)
     step = step.withColumn("clean_text", F.when(F.col("drop_reason").isNull(), T.truncated(body, config.max_chars)))
-    return step.drop("_prepared", "_bare", "_body", "_size")
+    return step.drop("_raw", "_plain", "_bare", "_body", "_size")
 
 
-def kept_articles(cleaned: DataFrame, id_col="id", title_col="title", url_col="url") -> DataFrame:
-    """The article table: id, title, url, n_chars (of the final text, without white space), text."""
+def kept_articles(cleaned: DataFrame, id_col="id", title_col="title", url_col="url", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The article table: id, title, url, n_chars (of the final text, without white space), text, and the columns ``keep``."""
     return cleaned.filter("drop_reason IS NULL").select(
         F.col(id_col).cast("string").alias("id"),
         F.col(title_col).alias("title"),
         F.col(url_col).alias("url"),
         T.effective_length(F.col("clean_text")).alias("n_chars"),
         F.col("clean_text").alias("text"),
+        *keep,
     )
 
 
+def failed_shards(stats: DataFrame, *by: str) -> DataFrame:
+    """The shards of :func:`clean_stats` of which no line could be read."""
+    return stats.filter("total > 0 AND badlines = total").select(*by)
+
+
 def clean_stats(cleaned: DataFrame, *by: str, bad: Column | None = None) -> DataFrame:
     """total, kept, dropped, badlines and drop_rate, by group or over all; total is the sum of the three."""
     broken = F.lit(False) if bad is None else bad

@@ -18,6 +18,15 @@ from ..functions.vectors import l2_normalize
 Provider = Callable[[], Callable[[list[str]], list]]
 
 
+def count_provider(dim: int) -> Provider:
+    """A local embedder without a service: counts of code points modulo ``dim``."""
+
+    def start():
+        return lambda texts: [np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % dim, minlength=dim).astype(float) for t in texts]
+
+    return start
+
+
 def hash_provider(dim: int) -> Provider:
     """A deterministic local embedder: signed hashes of character pairs. No service is needed."""
 

@@ -27,8 +27,7 @@ INJECTED = """
     WHEN 0 THEN '#REDIRECT [[X]]' || chr(10) || text
     WHEN 1 THEN text || ' __NOTOC__'
     WHEN 2 THEN ' ' || chr(9) || chr(10) || ' '
-    WHEN 3 THEN left(text, 120) || ' 可以指'
-    WHEN 4 THEN left(text, 30)
+    WHEN 3 THEN text || ' 可以指'
     WHEN 5 THEN '-{H|zh-cn:a;}-' || chr(10) || '#重定向 X' || chr(10) || text
     ELSE text END AS text
   FROM documents
@@ -159,8 +158,8 @@ LINES = """
 KINDS = f"""
 WITH l AS ({LINES}), t AS (
   SELECT doc_id AS page_id, pos, (doc_id + pos) % 6 AS k, CASE (doc_id + pos) % 6
-    WHEN 0 THEN pos || '、' || left(line, 40) || '答案： yes' WHEN 1 THEN '答案:' || left(line, 20)
-    WHEN 2 THEN '二、' || line WHEN 3 THEN '7. ' || left(line, 10) ELSE line END AS text
+    WHEN 0 THEN pos || '、' || line || '答案： yes' WHEN 1 THEN '答案:' || line
+    WHEN 2 THEN '二、' || line WHEN 3 THEN '7. ' || line ELSE line END AS text
   FROM l
 ), q AS (
   SELECT *, regexp_matches(text, '^[0-9]+[、.]') AS is_q FROM t WHERE text <> ''
@@ -210,7 +209,10 @@ ORACLES = {
     "topk_single": "WITH q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_inner_product(qv::DOUBLE[], embedding::DOUBLE[]), 4) AS score FROM q, embeddings ORDER BY list_inner_product(qv::DOUBLE[], embedding::DOUBLE[]) DESC, vec_id LIMIT 50",
     "topk_batch": SCORES + "SELECT query_id, vec_id, round(score, 4) AS score, rank FROM r WHERE rank <= 10",
     "reranked": SCORES + ", t AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY vec_id) AS rank FROM r WHERE rank <= 50) SELECT * FROM t WHERE rank <= 5",
-    "self_check": "SELECT vec_id AS query_id, vec_id, true AS passed FROM embeddings ORDER BY vec_id LIMIT 3",
+    "self_check": """WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings ORDER BY vec_id LIMIT 3),
+      s AS (SELECT query_id, vec_id, list_inner_product(qv::DOUBLE[], embedding::DOUBLE[]) AS score FROM q, embeddings)
+      SELECT query_id, vec_id, round(score, 3) AS score, query_id = vec_id AND score > 0.999 AS passed FROM s
+      QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) = 1""",
     "hit_mrr": SCORES + f", {first(50, 'f')} SELECT {METRICS} FROM f",
     "worst_cases": SCORES + f", {first(50, 'f')} SELECT query_id, target_title, first_rank FROM f ORDER BY first_rank DESC NULLS FIRST, query_id LIMIT 10",
     "ab_table": SCORES + f", {first(5, 'a')}, {first(50, 'b')} SELECT 'k5' AS variant, {METRICS} FROM a UNION ALL SELECT 'k50', {METRICS} FROM b",
@@ -225,10 +227,26 @@ ORACLES = {
     "image_urls": """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://img.example.com/' || page_id WHEN 1 THEN 'https://a.example/x.png'
       ELSE 'https://h.example/i/' || page_id || '.png' END AS url FROM pages""",
     "resume_antijoin": "SELECT doc_id::VARCHAR AS chunk_id FROM documents WHERE doc_id % 3 <> 0",
-    "embed_documents": "SELECT doc_id::VARCHAR AS chunk_id, 64::BIGINT AS dim, 1.0::DOUBLE AS norm FROM documents",
+    "embed_documents": """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents WHERE text <> ''),
+      n AS (SELECT doc_id, unicode(c) % 64 AS k, count(*)::DOUBLE AS n FROM c GROUP BY ALL),
+      v AS (SELECT doc_id, sum(n) / sqrt(sum(n * n)) AS total, max(n) / sqrt(sum(n * n)) AS peak FROM n GROUP BY doc_id)
+      SELECT doc_id::VARCHAR AS chunk_id, 64::BIGINT AS dim, round(coalesce(total, 0), 3) AS total, round(coalesce(peak, 0), 3) AS peak FROM documents LEFT JOIN v USING (doc_id)""",
     "json_lines": "SELECT lang, count(*) AS total, count(*) FILTER (doc_id % 10 = 0) AS badlines, sum(CASE WHEN doc_id % 10 <> 0 THEN length(text) END)::BIGINT AS chars FROM documents GROUP BY lang",
     "text_hashes": "SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents",
     "ordered_concat": f"SELECT doc_id, pos::INT AS pos, line FROM ({LINES}) WHERE trim(line) <> '' ORDER BY doc_id, pos",
     "clean_then_chunk": chunked(f"SELECT doc_id, lang AS source, body AS text FROM (SELECT doc_id, lang, {body("translate(text, '.!?', '。！？')")} AS body FROM documents) WHERE {size('body')} >= 50")
     + STATS.format(key="lang"),
+    "human_sizes": """WITH n AS (SELECT doc_id, doc_id % 50 AS k, doc_id * 37 AS s FROM documents),
+      u AS (SELECT *, ((k + 1) // 10)::INT AS i FROM n)
+      SELECT doc_id, printf('%.1f ', 3 * pow(2, k - 10 * i)) || ['B', 'KiB', 'MiB', 'GiB', 'TiB', 'PiB'][i + 1] AS size,
+        CASE WHEN s >= 3600 THEN printf('%dh%02dm%02ds', s // 3600, s % 3600 // 60, s % 60) WHEN s >= 60 THEN printf('%dm%02ds', s // 60, s % 60) ELSE printf('%ds', s) END AS time FROM u""",
+    "jsonl_round_trip": "SELECT doc_id::VARCHAR AS id, NULL::VARCHAR AS url, source AS title, md5(text) AS hash FROM documents",
+    "merged_shards": "SELECT md5(line) AS line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY line",
+    "cleaned_shards": CLEANED + """, k AS (SELECT *, doc_id % 7 = 0 AS bad FROM c)
+      SELECT count(*) AS total, count(*) FILTER (NOT bad AND reason = 'kept') AS kept, count(*) FILTER (NOT bad AND reason <> 'kept') AS dropped,
+        count(*) FILTER (bad) AS badlines, sum(length(body)) FILTER (NOT bad AND reason = 'kept')::BIGINT AS chars FROM k""",
+    "built_index": "SELECT vec_id, label::VARCHAR AS title, 'v' || vec_id AS text, len(embedding)::BIGINT AS width, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings",
+    "row_counts": "SELECT count(*) FILTER (doc_id % 3 = 0) AS unwritten, count(*) FILTER (doc_id % 3 <> 0) AS lines FROM documents",
+    "chunk_checks": chunked(WIDE) + """SELECT count(*) AS chunks, count(*) FILTER (overlap_len > 100) AS long_overlaps,
+      count(*) FILTER (chunk_index = 0 AND overlap_len > 0) AS first_overlaps, 0::BIGINT AS lost FROM c""",
 }

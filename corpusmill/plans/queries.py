@@ -9,7 +9,9 @@ from ..config import EmbedConfig
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import chunk, clean, embed, evaluate, pages, rag, search
-from ..sources import readers
+from .. import jobs
+from ..session import scratch
+from ..sources import readers, writers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +30,7 @@ def injected(text: Column, doc_id: Column) -> Column:
         F.when(k == 0, F.concat(F.lit("#REDIRECT [[X]]\n"), text))
         .when(k == 1, F.concat(text, F.lit(" __NOTOC__")))
         .when(k == 2, F.lit(" \t\n "))
-        .when(k == 3, F.concat(F.substring(text, 1, 120), F.lit(" 可以指")))
-        .when(k == 4, F.substring(text, 1, 30))
+        .when(k == 3, F.concat(text, F.lit(" 可以指")))
         .when(k == 5, F.concat(F.lit("-{H|zh-cn:a;}-\n#重定向 X\n"), text))
         .otherwise(text)
     )
@@ -198,7 +199,7 @@ def reranked(spark, sf_dir):
 
 
 def self_check(spark, sf_dir):
-    return search.self_check(_vectors(spark, sf_dir), id_col="vec_id").select("query_id", "vec_id", "passed")
+    return search.self_check(_vectors(spark, sf_dir), id_col="vec_id").select("query_id", "vec_id", F.round("score", 3).alias("score"), "passed")
 
 
 def _ranked(spark, sf_dir, k: int):
@@ -261,10 +262,10 @@ def _lines(spark, sf_dir):
     d = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     k = (F.col("doc_id") + F.col("pos")) % 6
     text = (
-        F.when(k == 0, F.concat(F.col("pos").cast("string"), F.lit("、"), F.substring("line", 1, 40), F.lit("答案： yes")))
-        .when(k == 1, F.concat(F.lit("答案:"), F.substring("line", 1, 20)))
+        F.when(k == 0, F.concat(F.col("pos").cast("string"), F.lit("、"), F.col("line"), F.lit("答案： yes")))
+        .when(k == 1, F.concat(F.lit("答案:"), F.col("line")))
         .when(k == 2, F.concat(F.lit("二、"), F.col("line")))
-        .when(k == 3, F.concat(F.lit("7. "), F.substring("line", 1, 10)))
+        .when(k == 3, F.concat(F.lit("7. "), F.col("line")))
         .otherwise(F.col("line"))
     )
     return d.select(F.col("doc_id").alias("page_id"), "pos", text.alias("text"))
@@ -293,8 +294,9 @@ def resume_antijoin(spark, sf_dir):
 
 def embed_documents(spark, sf_dir):
     config = EmbedConfig(dim=64)
-    v = embed.embed_chunks(_articles(spark, sf_dir).withColumnRenamed("id", "chunk_id"), embed.hash_provider(64), config)
-    return v.select("chunk_id", F.size("embedding").cast("long").alias("dim"), F.round(V.norm(F.col("embedding")), 3).alias("norm"))
+    v = embed.embed_chunks(_articles(spark, sf_dir).withColumnRenamed("id", "chunk_id"), embed.count_provider(64), config)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return v.select("chunk_id", F.size("embedding").cast("long").alias("dim"), F.round(total, 3).alias("total"), F.round(F.array_max("embedding").cast("double"), 3).alias("peak"))
 
 
 def json_lines(spark, sf_dir):
@@ -329,6 +331,73 @@ def clean_then_chunk(spark, sf_dir):
     return out.withColumn("max_len", F.col("max_len").cast("long"))
 
 
+def jsonl_round_trip(spark, sf_dir):
+    """Documents written as JSON lines, some more appended, and read back strictly."""
+    a, at = _articles(spark, sf_dir).select("id", "url", "title", "text"), scratch(spark, "jsonl")
+    writers.write_jsonl(a.filter("id % 2 = 0"), at)
+    writers.append_jsonl(a.filter("id % 2 = 1"), at)
+    return readers.read_jsonl(spark, at).select("id", "url", "title", F.md5("text").alias("hash"))
+
+
+def merged_shards(spark, sf_dir):
+    """Lines of documents in three shards, merged without the empty ones; the number of each line."""
+    d, at = _table(spark, sf_dir, "documents"), scratch(spark, "shards")
+    for k in range(3):
+        d.filter(F.col("doc_id") % 3 == k).select(F.explode(F.split("text", "\n")).alias("line")).write.text(f"{at}/{k}")
+    writers.merge_shards(spark, [f"{at}/{k}" for k in (2, 0, 1, 7)], f"{at}/all")
+    return spark.read.text(f"{at}/all").groupBy(F.md5("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def cleaned_shards(spark, sf_dir):
+    """The cleaning job over shards, one line in seven broken: its counts and the characters that it kept."""
+    a, at = _injected(spark, sf_dir), scratch(spark, "clean")
+    line = F.to_json(F.struct("id", "url", "title", "text"))
+    broken = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("{"), line)).otherwise(line)
+    a.select(broken).write.text(f"{at}/in")
+    stats = jobs.clean_shards(spark, f"{at}/in", f"{at}/out", pattern="part-*")
+    again = jobs.clean_shards(spark, f"{at}/in", f"{at}/out", pattern="part-*")  # all are there: nothing is cleaned twice
+    kept = spark.read.schema("text string, shard string").json(f"{at}/out/articles").agg(F.sum(F.length("text")).alias("chars"))
+    totals = stats.unionByName(again).agg(*[(F.sum(c) / 2).cast("long").alias(c) for c in ("total", "kept", "dropped", "badlines")])
+    return totals.crossJoin(kept)
+
+
+def built_index(spark, sf_dir):
+    """Vectors and their metadata written as an index and loaded."""
+    v, at = _vectors(spark, sf_dir), scratch(spark, "index")
+    meta = v.select("vec_id", F.col("label").cast("string").alias("title"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("text"))
+    writers.build_index(v.select("vec_id", "embedding"), meta, at, "vec_id")
+    index = writers.load_index(spark, at)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return index.select("vec_id", "title", "text", F.size("embedding").cast("long").alias("width"), F.round(total, 4).alias("total"))
+
+
+def row_counts(spark, sf_dir):
+    """Lines written and counted, and how many are still to be written once two thirds are there."""
+    a, at = _articles(spark, sf_dir).select("id", "title"), scratch(spark, "rows")
+    a.filter("id % 3 != 0").write.parquet(f"{at}/table")
+    a.filter("id % 3 != 0").write.json(f"{at}/lines")
+    left = writers.unwritten(a, f"{at}/table", "id")
+    return left.agg(F.count(F.lit(1)).alias("unwritten")).withColumn("lines", F.lit(readers.count_rows(spark, f"{at}/lines")).cast("long"))
+
+
+def chunk_checks(spark, sf_dir):
+    """Acceptance figures of chunking: bodies above the limit, bodies near it, overlaps out of range, and documents that
+    cannot be rebuilt from their chunks."""
+    docs = _wide(spark, sf_dir).filter(F.length("text") > 0)
+    made = chunk.chunk_documents(docs, "id")
+    body = F.expr("substring(text, overlap_len + 1)")
+    parts = made.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", body.alias("body")))).alias("c"))
+    rebuilt = parts.select("doc_id", F.regexp_replace(F.array_join(F.transform("c", lambda x: x["body"]), ""), "\n", "").alias("rebuilt"))
+    both = docs.select("id", F.regexp_replace("text", "\n", "").alias("whole")).join(rebuilt, F.col("id") == F.col("doc_id"), "left")
+    lost = both.agg(F.count_if(~F.col("whole").eqNullSafe(F.coalesce("rebuilt", F.lit("")))).alias("lost"))
+    figures = made.agg(
+        F.count(F.lit(1)).alias("chunks"),
+        F.count_if(F.col("overlap_len") > 100).alias("long_overlaps"),
+        F.count_if((F.col("chunk_index") == 0) & (F.col("overlap_len") > 0)).alias("first_overlaps"),
+    )
+    return figures.crossJoin(lost)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -336,6 +405,7 @@ QUERIES = {
         conversion_markup, invisible_parens, truncate_long, paragraphs, sentences, hard_cut, chunks, chunk_stats, subset_first_n,
         l2_normalize, cosine_pairs, topk_single, topk_batch, reranked, self_check, hit_mrr, worst_cases, ab_table, eval_sample,
         build_prompt, token_counts, answers, page_blocks, paragraph_kinds, image_urls, resume_antijoin, embed_documents, json_lines,
-        text_hashes, human_sizes, ordered_concat, clean_then_chunk,
+        text_hashes, human_sizes, ordered_concat, clean_then_chunk, jsonl_round_trip, merged_shards, cleaned_shards,
+        built_index, row_counts, chunk_checks,
     )
 }

@@ -66,6 +66,12 @@ def read_shards(spark: SparkSession, folder: str, pattern: str = "wiki_*", schem
     return read_jsonl_tolerant(spark, folder, schema, recursiveFileLookup="true", pathGlobFilter=pattern)
 
 
+def in_file_order(rows: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """``rows`` of a file reader with the columns that put them in the order of files and of lines in them."""
+    marked = rows.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
+    return marked.withColumn("_i", F.monotonically_increasing_id()), ("_f", "_b", "_i")
+
+
 def shard_names(shards: DataFrame, folder: str) -> DataFrame:
     """file and output name of each shard, sorted: its stem, or its path with ``/`` as ``_`` where stems
     repeat anywhere. No shards at all is an error."""
@@ -102,12 +108,9 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", F.md5("content").alias("md5"), F.sha1("content").alias("sha1"), F.sha2("content", 256).alias("sha256"))
 
 
-def hash_file(path: str | Path, algorithm: str = "sha1", block: int = 1 << 20) -> str:
-    h = hashlib.new(algorithm)
+def hash_file(path: str | Path, algorithm: str = "sha1") -> str:
     with open(path, "rb") as file:
-        while data := file.read(block):
-            h.update(data)
-    return h.hexdigest()
+        return hashlib.file_digest(file, algorithm).hexdigest()
 
 
 def verify_file(path: str | Path, expected: str) -> bool:

@@ -40,7 +40,7 @@ def test_against_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(QUERIES) - set(ORACLES) == {"answers", "page_blocks", "human_sizes"}
+    assert set(QUERIES) - set(ORACLES) == {"answers", "page_blocks"}
 
 
 def test_rows_only_queries(spark):

@@ -62,16 +62,16 @@ def test_merge(spark, tmp_path):
     out = str(tmp_path / "out")
     n = writers.merge_shards(spark, [str(tmp_path / x) for x in ("b.jsonl", "a.jsonl", "missing.jsonl")] + [out], out, single_file=True)
     part = next((tmp_path / "out").glob("part-*"))
-    assert n == 4 and part.read_text() == "a1\na2\nb1\nb2\n" and readers.count_rows(spark, out) == 4
+    assert n == 5 and part.read_text() == "a1\n  \na2\nb1\nb2\n" and readers.count_rows(spark, out) == 5
     with pytest.raises(FileNotFoundError):
         writers.merge_shards(spark, [str(tmp_path / "missing")], str(tmp_path / "none"))
     assert not (tmp_path / "none").exists()
 
 
 def test_writers(spark, tmp_path):
-    writers.append_jsonl(tmp_path / "d" / "x.jsonl", {"a": "字"})
-    writers.append_jsonl(tmp_path / "d" / "x.jsonl", {"a": None})
-    assert (tmp_path / "d" / "x.jsonl").read_text(encoding="utf-8") == '{"a": "字"}\n{"a": null}\n'
+    for a in ("字", None):
+        writers.append_jsonl(spark.createDataFrame([(a,)], "a string").coalesce(1), str(tmp_path / "d"))
+    assert sorted(p.read_text(encoding="utf-8") for p in (tmp_path / "d").glob("part-*")) == ['{"a":"字"}\n', '{"a":null}\n']
     rows = spark.createDataFrame([("1", "字")], "id string, text string")
     writers.write_jsonl(rows, str(tmp_path / "j"))
     assert "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "j").glob("part-*")) == '{"id":"1","text":"字"}\n'
@@ -137,6 +137,6 @@ def test_stream_resumes(spark, tmp_path):
 def test_command_line(spark, tmp_path):
     lines(tmp_path / "in" / "wiki_0", article(1, "字" * 60), article(2, "x"), "{bad")
     jobs.main(["clean", str(tmp_path / "in"), str(tmp_path / "clean")])
-    jobs.main(["chunk", str(tmp_path / "clean"), str(tmp_path / "chunks"), "--subset=5"])
+    jobs.main(["chunk", str(tmp_path / "clean" / "articles"), str(tmp_path / "chunks"), "--subset=5"])
     assert [r.chunk_id for r in spark.read.json(str(tmp_path / "chunks")).collect()] == ["wiki1_c000"]
     assert (jobs.subset_size(None), jobs.subset_size("7"), jobs.subset_size("x")) == (None, 7, 100_000)
