@@ -1,10 +1,16 @@
 """URL filter: rules first, then naive Bayes over segmented host and path words.
 
-Words run together in hosts are separated by a Viterbi search over a unigram model that is counted from
-the visible words of all pages. Weak labels come from seed words among the segments: a page with one is
-an example to block, any other one to allow. Multinomial naive Bayes, fitted on all pages, then scores
-every page, so that words that keep company with seeds weigh as well. Two things are broadcast, both
-bounded: the ``max_words`` most frequent words, and one weight for each of 2**``bits`` token hashes.
+Words run together in hosts and paths are separated by a Viterbi search over a unigram model: the counts of the visible
+words of all pages. Every substring of every distinct run of letters is looked up in the whole table of counts by a
+join, so no word of up to LONGEST letters is left out; a longer one is taken for an unknown run.
+
+Labels come from other words than those that are scored. A page that a rule covers has the rule's verdict for a
+label; another one is an example to block if a seed word is among its segments, else to allow. Seeds and the words of the
+rules give labels and are withheld from the features, so the model learns from the words that keep company with them.
+Multinomial naive Bayes, fitted on all pages with exact counts of every token, scores every page.
+
+Runs are segmented, and scored, once each. A page's runs meet these by a join, in which the runs that make up more than a
+thousandth of all, fewer than a thousand, are broadcast.
 
 Cases: a null URL, and one without ``://``, has empty host and path, fits no rule and gets the verdict of
 the prior. Of rules of equal length that both fit, blocking wins. Repeated rows count each. Without pages
@@ -15,12 +21,9 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,13 +41,15 @@ SEEDS = (
     "ads", "adult", "bets", "betting", "casino", "escort", "gambling", "hentai", "jackpot", "malware", "nude", "phishing",
     "pills", "poker", "porn", "roulette", "slots", "spam", "spyware", "viagra", "warez", "xxx",
 )
-#: Common parts of host names; with SEEDS they are known words however rare they are in the pages.
-KNOWN = (
-    "blog", "book", "cloud", "club", "deal", "deals", "farm", "forum", "free", "game", "games", "home", "info", "learn",
-    "live", "lucky", "mail", "market", "media", "net", "news", "online", "page", "play", "school", "shop", "site", "store",
-    "super", "tech", "the", "top", "video", "web", "wiki", "win", "world",
-)
-MAX_WORDS, BITS, SMOOTHING, LONGEST = 1 << 16, 15, 0.5, 24
+SMOOTHING, LONGEST = 0.5, 24
+#: Runs with more than this share of all occurrences are broadcast.
+HOT = 0.001
+NUMBER = "<n>"
+
+
+def rule_words(rules=RULES) -> set[str]:
+    """Words of the rules' names: they decide labels."""
+    return {w for name, _ in rules for w in re.findall(r"[a-z]+", name.lower())}
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -64,51 +69,24 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-@dataclass(frozen=True)
-class Unigrams:
-    """Log probabilities of known words; an unknown run costs more with each letter."""
-
-    logp: dict[str, float]
-    total: float
-
-    def segment(self, run: str) -> tuple[str, ...]:
-        """The most probable split of a run of letters; of equal ones that with the longer last word."""
-        n = len(run)
-        best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
-        unknown = [-math.log(self.total) - length * math.log(10.0) + math.log(10.0) for length in range(LONGEST + 1)]
-        for end in range(1, n + 1):
-            for start in range(max(0, end - LONGEST), end):
-                p = self.logp.get(run[start:end])
-                score = best[start] + (unknown[end - start] if p is None else p)
-                if score > best[end]:
-                    best[end], back[end] = score, start
-        words = []
-        while n:
-            words.append(run[back[n] : n])
-            n = back[n]
-        return tuple(reversed(words))
-
-
-class Tokens:
-    """Host and path tokens; segmentations are remembered while there are few."""
-
-    def __init__(self, model: Unigrams):
-        self.model, self.memo = model, {}
-
-    def _run(self, run: str) -> tuple[str, ...]:
-        if len(self.memo) > 200_000:
-            self.memo.clear()
-        if run not in self.memo:
-            self.memo[run] = ("<n>",) if run[0].isdigit() else self.model.segment(run)
-        return self.memo[run]
-
-    def __call__(self, host: str, path: str) -> tuple[list[str], list[str]]:
-        parts = [re.findall(r"[a-z]+|[0-9]+", x) for x in (host, path.lower())]
-        return tuple([t for run in runs for t in self._run(run)] for runs in parts)
-
-
-def bucket(token: str, bits: int = BITS) -> int:
-    return zlib.crc32(token.encode()) & ((1 << bits) - 1)
+def segment(run: str, counts: dict[str, float], total: float) -> list[str]:
+    """The most probable split of a run of letters; of equal ones that with the longer last word. An unknown run costs
+    more with each letter."""
+    n = len(run)
+    best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
+    scale = math.log(total)
+    unknown = [math.log(10.0) - scale - length * math.log(10.0) for length in range(LONGEST + 1)]
+    for end in range(1, n + 1):
+        for start in range(max(0, end - LONGEST), end):
+            c = counts.get(run[start:end])
+            score = best[start] + (unknown[end - start] if c is None else math.log(c) - scale)
+            if score > best[end]:
+                best[end], back[end] = score, start
+    words = []
+    while n:
+        words.append(run[back[n] : n])
+        n = back[n]
+    return words[::-1]
 
 
 def visible_word_counts(pages: DataFrame, html_col: str) -> DataFrame:
@@ -124,7 +102,7 @@ def visible_word_counts(pages: DataFrame, html_col: str) -> DataFrame:
         for batch in batches:
             for html in batch.column(0).to_pylist():
                 held.update(word.findall(tag.sub(b" ", html.lower() if html else b"")))
-                if len(held) > 300_000:
+                if len(held) > 100_000:
                     yield batch_of()
                     held.clear()
         if held:
@@ -134,77 +112,79 @@ def visible_word_counts(pages: DataFrame, html_col: str) -> DataFrame:
     return partial.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit_unigrams(pages: DataFrame, html_col="html", max_words=MAX_WORDS, known=SEEDS + KNOWN) -> Unigrams:
-    top = visible_word_counts(pages, html_col).orderBy(F.desc("n"), "word").limit(max_words)  # the model's size
-    counts = {r.word: r.n for r in top.toLocalIterator()}
-    # A known word counts as a frequent one: it must win against a split into short syllables.
-    usual = max(counts.values(), default=100) // 100 + 1
-    for word in known:
-        counts[word] = max(counts.get(word, 0), usual)
-    total = float(sum(counts.values()))
-    return Unigrams({w: math.log(n / total) for w, n in counts.items()}, total)
+def segmented(runs: DataFrame, words: DataFrame, seeds=SEEDS) -> DataFrame:
+    """run and its tokens, from distinct runs and the table of word counts. Seeds count as frequent words, so that they
+    win against a split into short syllables."""
+    sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.max("n"), F.lit(100)).alias("most")).first()
+    usual, total = sums.most // 100 + 1, float(sums.total + 1)
+    lengths = F.sequence(F.lit(1), F.least(F.length("run") - F.col("at") + 1, F.lit(LONGEST)))
+    starts = runs.filter("run >= 'a'").select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("at"))
+    parts = starts.select("run", F.explode(F.transform(lengths, lambda n: F.col("run").substr(F.col("at"), n))).alias("word")).distinct()
+    # A run has few substrings, so its list is bounded by its own length.
+    known = parts.join(words, "word").groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    asked = runs.join(known, "run", "left").select("run", "known")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts = {x["word"]: x["n"] for x in found or ()}
+                for w in seeds:
+                    if w in text:
+                        counts[w] = max(counts.get(w, 0), usual)
+                out.append([NUMBER] if text[0].isdigit() else segment(text, counts, total))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["run", "tokens"])
 
-@dataclass(frozen=True)
-class Bayes:
-    prior: float
-    weights: np.ndarray
-    bits: int
+    return asked.mapInArrow(run, "run string, tokens array<string>")
 
-    def score(self, tokens: list[str]) -> float:
-        """Log odds of blocking."""
-        return self.prior + float(sum(self.weights[bucket(t, self.bits)] for t in tokens))
 
+def _met(rows: DataFrame, runs: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``runs`` (unique by run). The rows of ``hot`` runs, fewer than 1 / HOT, stay where
+    they are."""
+    some = F.broadcast(runs.join(F.broadcast(hot), "run", "left_semi"))
+    rest = rows.join(F.broadcast(hot), "run", "left_anti").join(runs, "run")
+    return rows.join(some, "run").unionByName(rest)
 
-def fit_bayes(urls: DataFrame, unigrams, seeds=SEEDS, bits=BITS, smoothing=SMOOTHING) -> Bayes:
-    """Multinomial naive Bayes on all rows of ``urls`` (host, path), labelled by the seeds. Tasks send their
-    counts by token hash, at most 2**(bits+1) rows each; bucket -1 counts pages."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, wanted, held = Tokens(unigrams.value), set(seeds), Counter()
-        for batch in batches:
-            for host, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h, p = tokens(host, path)
-                label = int(not wanted.isdisjoint(h) or not wanted.isdisjoint(p))
-                held[-1, label] += 1
-                for t in h + p:
-                    held[bucket(t, bits), label] += 1
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*((b, y, n) for (b, y), n in held.items()), strict=True)], names=["b", "y", "n"])
-
-    sums = urls.select("host", "path").mapInArrow(count, "b long, y long, n long").groupBy("b", "y").agg(F.sum("n").alias("n"))
-    counts, pages = np.zeros((2, 1 << bits)), np.zeros(2)
-    for r in sums.toLocalIterator():  # at most 2**(bits+1) + 2 rows
-        if r.b < 0:
-            pages[r.y] = r.n
-        else:
-            counts[r.y, r.b] = r.n
-    # A hash seen in neither class says nothing, as in the usual vocabulary of the training text.
-    seen = counts.sum(axis=0) > 0
-    logp = np.log((counts + smoothing) / (counts.sum(axis=1, keepdims=True) + smoothing * max(1, seen.sum())))
-    return Bayes(float(np.log(pages[1] + 0.5) - np.log(pages[0] + 1.0)), np.where(seen, logp[1] - logp[0], 0.0), bits)
-
-
-def judge(pages: DataFrame, id_col="page_id", url_col="url", html_col="html", rules=RULES, seeds=SEEDS, max_words=MAX_WORDS, bits=BITS) -> DataFrame:
-    """One row for each page: id, host, path, rule, verdict, words (segments of host and path) and score."""
-    spark = pages.sparkSession
-    host, path = host_and_path(F.col(url_col))
-    urls = stored(pages.select(F.col(id_col).cast("long").alias("id"), host.alias("host"), path.alias("path")), "urls")
-    unigrams = spark.sparkContext.broadcast(fit_unigrams(pages, html_col, max_words, tuple(seeds) + KNOWN))
-    bayes = spark.sparkContext.broadcast(fit_bayes(urls, unigrams, seeds, bits))
-    schema = "id long, host string, path string, words array<string>, score double"
+def token_weights(counts: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
+    """token and its log odds, from rows (token, allowed, blocked)."""
+    sums = counts.agg(F.sum("allowed").alias("all_a"), F.sum("blocked").alias("all_b"), F.count(F.lit(1)).alias("kinds"))
+    chance = lambda n, total: F.log((F.col(n) + smoothing) / (F.col(total) + smoothing * F.col("kinds")))
+    return counts.crossJoin(F.broadcast(sums)).select("token", (chance("blocked", "all_b") - chance("allowed", "all_a")).alias("weight"))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, model = Tokens(unigrams.value), bayes.value
-        for batch in batches:
-            found = [sum(tokens(h, p), []) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            scores = pa.array([model.score(t) for t in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string())), scores], names=["id", "host", "path", "words", "score"])
 
-    scored = urls.mapInArrow(score, schema)
+def judge(pages: DataFrame, id_col="page_id", url_col="url", html_col="html", rules=RULES, seeds=SEEDS) -> DataFrame:
+    """One row for each page: id, host, path, rule, verdict, words (segments of host and path) and score."""
+    host, path = host_and_path(F.col(url_col))
+    named = pages.select(F.col(id_col).cast("long").alias("id"), host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
+    urls = stored(named.select("*", rule.alias("rule"), says.alias("says")), "urls")
+    runs_in = F.regexp_extract_all(F.lower(F.concat_ws(" ", "host", "path")), F.lit("[a-z]+|[0-9]+"), 0)
+    pieces = urls.select("row", F.posexplode(runs_in).alias("at", "run"))
+    runs = stored(pieces.groupBy("run").agg(F.count(F.lit(1)).alias("n")), "runs")
+    total = runs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    hot = stored(runs.filter(F.col("n") > HOT * total).select("run"), "hot-runs")
+    cut = stored(segmented(runs.select("run"), stored(visible_word_counts(pages, html_col), "words"), seeds), "segments")
+    # Labels: a rule's verdict, or whether a seed is among the segments.
+    seed = F.arrays_overlap("tokens", F.array(*[F.lit(w) for w in seeds]))
+    seeded = _met(pieces, cut.select("run", seed.alias("seed")), hot).groupBy("row").agg(F.max("seed").alias("seed")).withColumnRenamed("row", "r")
+    labels = urls.join(seeded, F.col("row") == F.col("r"), "left")
+    labels = stored(labels.select(F.col("row").alias("r"), F.coalesce(F.col("says") == "block", "seed", F.lit(False)).alias("blocked")), "labels")
+    # Features: all other tokens, counted by run and label first.
+    by_run = pieces.join(labels, F.col("row") == F.col("r")).groupBy("run").agg(F.count_if("blocked").alias("blocked"), F.count_if(~F.col("blocked")).alias("allowed"))
+    withheld = sorted({*seeds, *rule_words(rules)})
+    features = cut.select("run", F.explode("tokens").alias("token")).filter(~F.col("token").isin(withheld))
+    counts = features.join(by_run, "run").groupBy("token").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked"))
+    weights = stored(token_weights(stored(counts, "tokens")), "weights")
+    by_run = features.join(weights, "token").groupBy("run").agg(F.sum("weight").alias("weight"))
+    known = stored(cut.join(by_run, "run", "left").select("run", "tokens", F.coalesce("weight", F.lit(0.0)).alias("weight")), "run-weights")
+    each = _met(pieces, known, hot).groupBy("row").agg(F.sum("weight").alias("weight"), F.array_sort(F.collect_list(F.struct("at", "tokens"))).alias("parts")).withColumnRenamed("row", "r")
+    n = labels.agg(F.count_if("blocked").alias("b"), F.count_if(~F.col("blocked")).alias("a")).first()
+    prior = math.log(n.b + 0.5) - math.log(n.a + 1.0)
+    out = urls.join(each, F.col("row") == F.col("r"), "left").withColumn("score", F.lit(prior) + F.coalesce("weight", F.lit(0.0)))
+    words = F.coalesce(F.flatten(F.transform("parts", lambda p: p["tokens"])), F.array().cast("array<string>"))
     own = F.when(F.col("score") > 0, F.lit("block")).otherwise(F.lit("allow"))
-    return scored.select("id", "host", "path", rule.alias("rule"), F.coalesce(says, own).alias("verdict"), "words", "score")
+    return out.select("id", "host", "path", "rule", F.coalesce("says", own).alias("verdict"), words.alias("words"), "score")
 
 
 def op1_url_filter(spark, sf_dir):

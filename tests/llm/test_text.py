@@ -58,16 +58,49 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_hosts_without_labelled_words(spark):
+    """Held-out hosts: none of their tokens gives a page its label, so what is told is learnt from company."""
+    bad, good = ["lucky", "spin", "cash", "bonus"], ["garden", "daily", "river", "museum"]
+    html = "<p>" + " ".join(bad + good + ["lucky"] * 3) * 4 + "</p>"
+    random.seed(7)
+    seeds = ["casino", "poker", "slots"]
+    rows = [(i, f"http://{random.choice(seeds)}{random.choice(bad)}{random.choice(bad)}.example.net/p/{i}", html) for i in range(80)]
+    rows += [(100 + i, f"http://{random.choice(good)}-{random.choice(good)}.example.net/p/{i}", html) for i in range(300)]
+    held = [(1000 + i, f"http://{a}{b}.example.net/q/{i}", html) for i, (a, b) in enumerate((a, b) for w in (bad, good) for a in w for b in w if a != b)]
+    rules = spark.createDataFrame([(2000 + i, f"http://river{i}.com/de/x", html) for i in range(40)], "page_id long, url string, html string")
+    got = {r.id: r for r in url_filter.judge(spark.createDataFrame(rows + held, "page_id long, url string, html string").unionByName(rules)).collect()}
+    right = [(got[i].verdict == "block") == (n < 12) for n, (i, _, _) in enumerate(held)]
+    assert sum(right) / len(right) > 0.9
+    assert got[1000].words[:2] == ["lucky", "spin"] and all(got[2000 + i].verdict == "block" and got[2000 + i].rule == "com/de/" for i in range(40))
+
+
+def test_scores_against_brute_force(spark):
+    html = "<p>alpha beta gamma win win</p><script>casino</script>"
+    urls = ["http://alphabeta.example.net/win", "http://poker-win.example.net/", "http://gamma.com/de/win7", "http://gamma.org/alpha", None, "http://betagamma.example.net/x1", "http://poker.org/win"]
+    got = {r.id: r for r in url_filter.judge(spark.createDataFrame([(i, u, html) for i, u in enumerate(urls)], "page_id long, url string, html string")).collect()}
+    withheld = {*url_filter.SEEDS, *url_filter.rule_words(url_filter.RULES)}
+    tokens = {0: "alpha beta net win", 1: "win net", 2: "gamma win <n>", 3: "gamma alpha", 4: "", 5: "beta gamma net x <n>", 6: "win"}
+    for i, t in tokens.items():
+        assert [w for w in got[i].words if w not in withheld] == t.split() or sorted(w for w in got[i].words if w not in withheld) == sorted(t.split())
+    label = {i: (brute_rule(u)[2][1] == "block") if brute_rule(u)[2] else "poker" in (u or "") for i, u in enumerate(urls)}
+    counts = [Counter(w for i, t in tokens.items() if label[i] == y for w in t.split()) for y in (False, True)]
+    size = len(counts[0] | counts[1])
+    logp = lambda y, w: math.log((counts[y][w] + 0.5) / (counts[y].total() + 0.5 * size))
+    prior = math.log(sum(label.values()) + 0.5) - math.log(len(urls) - sum(label.values()) + 1.0)
+    for i, t in tokens.items():
+        assert got[i].score == pytest.approx(prior + sum(logp(1, w) - logp(0, w) for w in t.split()))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("abc", min_size=1, max_size=9))
 def test_viterbi_is_the_best_split(run):
-    model = url_filter.Unigrams({w: math.log(p) for w, p in {"a": 0.2, "ab": 0.3, "bca": 0.25, "c": 0.05, "cab": 0.2}.items()}, 100.0)
-    cost = lambda w: model.logp.get(w, math.log(10) - math.log(100.0) - len(w) * math.log(10))
+    counts = {"a": 20, "ab": 30, "bca": 25, "c": 5, "cab": 20}
+    cost = lambda w: math.log(counts[w] / 100) if w in counts else math.log(10) - math.log(100.0) - len(w) * math.log(10)
 
     def splits(s):
         return [[s]] + [[s[:i], *rest] for i in range(1, len(s)) for rest in splits(s[i:])]
 
-    got = model.segment(run)
+    got = url_filter.segment(run, counts, 100.0)
     assert "".join(got) == run
     assert sum(map(cost, got)) == pytest.approx(max(sum(map(cost, x)) for x in splits(run)))
 
@@ -83,7 +116,8 @@ def test_spans(spark):
         "f" * 23: [], "é🙂 secret: " + "a" * 24: ["assign:3:35", "hex:11:35"], "": [], None: [], "no = signs: here": [],
         "pwd: Xk9$mQ2!vL5nZ7": ["guess:5:19"], "passphrase = aaaaaaaaaaaa": [], "private_key=>q8Zr!4vTn&2x": ["guess:13:25"],
     }
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], DOCS)
+    common = [(1000 + i, "a token, the password") for i in range(6)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)] + common, DOCS)
     got = {r.id: [f"{s.kind}:{s.start}:{s.end}" for s in r.spans] for r in secrets.scan_secrets(df).collect()}
     assert [got[i] for i in range(len(cases))] == list(cases.values())
     assert secrets.scan_secrets(df.limit(0)).count() == 0
@@ -107,29 +141,66 @@ def test_base_spans_do_not_depend_on_the_hints(text):
     assert sorted(secrets.base_spans(text, True)) == sorted(secrets.base_spans(text))
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text("pasword1289-qwe", min_size=1, max_size=10))
-def test_guess_cost_is_the_minimum(value):
-    spans = {}
-    for i, j, c in secrets._spans(value):
-        spans[i, j] = min(c, spans.get((i, j), 9e9))
+def brute_cost(value, ranks):
+    """Every substring is looked at by itself: what it is, and what it costs."""
+    low = value.lower()
+    costs = {}
     for i in range(len(value)):
         for j in range(i + 1, len(value) + 1):
-            brute = sum(map(secrets._char_cost, value[i:j]))
-            spans[i, j] = min(brute, spans.get((i, j), 9e9))
+            part, n = value[i:j], j - i
+            options = [sum(math.log10(10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 1000) for c in part)]
+            word = part.lower().translate(str.maketrans("@4301!5$7", "aaeoiisst"))
+            if word in ranks:
+                case = 0 if part == part.lower() else 0.3 if part.istitle() or part.isupper() else 0.3 * sum(c.isupper() for c in part)
+                options.append(math.log10(ranks[word]) + case + 0.3 * sum(a != b for a, b in zip(part.lower(), word, strict=True)))
+            if secrets.DATE.fullmatch(part):
+                options.append(math.log10(150 if n == 4 else 150 * 366))
+            if n >= 3 and any(low[i:j] in row for row in [*secrets.ROWS, *(r[::-1] for r in secrets.ROWS), "1qaz2wsx3edc4rfv5tgb6yhn7ujm8ik"]):
+                options.append(math.log10(40 * n))
+            for unit in range(1, min(16, n // 2) + 1):
+                if n % unit == 0 and part == part[:unit] * (n // unit):
+                    options.append(sum(map(secrets._char_cost, part[:unit])) + math.log10(n // unit))
+            costs[i, j] = min(options)
     best = [0.0] + [9e9] * len(value)
     for j in range(1, len(value) + 1):
-        best[j] = min(best[i] + spans[i, j] + (secrets.JOIN if i else 0) for i in range(j))
-    assert secrets.guess_cost(value) == pytest.approx(best[-1])
+        best[j] = min(best[i] + costs[i, j] + (secrets.JOIN if i else 0) for i in range(j))
+    return best[-1]
+
+
+RANKS = {"password": 2, "default": 20, "abc": 30, "summer": 40, "pass": 50, "word": 60, "ion": 70, "station": 80}
+
+
+def test_guess_cost_is_the_minimum():
+    rng = random.Random(11)
+    parts = [*RANKS, "qwe", "Summer", "p4ss", "2019", "19991231", "aab", "12", "zz", "é", "-", "x", "A", "aa", "abcd", "fdsa"]
+    values = ["abcdefault", "aabaab", "ab" * 9, "aaaaab", "PassWord1999", "20192019", "é" * 5]
+    values += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))[:16] for _ in range(6000)]
+    values += ["".join(rng.choice("aab12-qwA@") for _ in range(rng.randint(1, 12))) for _ in range(4000)]
+    for v in values:
+        assert secrets.guess_cost(v, RANKS) == pytest.approx(brute_cost(v, RANKS)), v
+    assert secrets.guess_cost("abcdefault", RANKS) < 4.2 and secrets.guess_cost("aabaab") < 5
 
 
 def test_weak_values_cost_less():
     weak = ["password1", "qwerty123456", "19991231", "abcabcabc", "Summer2019"]
     strong = ["xK9#mQ2$vL5n", "f3ef4d6b2755a36d7d9c25bd"]
-    assert max(map(secrets.guess_cost, weak)) < secrets.THRESHOLD < min(map(secrets.guess_cost, strong))
+    assert max(secrets.guess_cost(v, RANKS) for v in weak) < secrets.THRESHOLD < min(secrets.guess_cost(v, RANKS) for v in strong)
     assert secrets.guess_cost("ab" * 20_000) < 10
 
 
+def test_dictionary_is_counted_from_the_texts(spark):
+    rows = [(i, "The common words stand here, password = zorbelquinkz and é" + ("" if i % 2 else " seldom")) for i in range(12)]
+    df = spark.createDataFrame([*rows, (99, None), (100, ""), (1, "The rare")], DOCS)
+    ranks = secrets.dictionary(df, least=7)
+    assert set(ranks) == {"the", "common", "words", "stand", "here", "and"} and ranks["the"] == 2
+    assert "seldom" in secrets.dictionary(df, least=6) and len(secrets.dictionary(df, least=1, words=3)) <= 3
+    assert secrets.dictionary(df.limit(0)) == {}
+    weak = spark.createDataFrame([(i, "correcthorse battery staple: passphrase: commonwordsstandhere") for i in range(500, 503)] + rows, DOCS + "")
+    got = {r.id: r.max_guess_log10 for r in secrets.scan_secrets(weak.selectExpr("*", "1 AS spans", "1 AS id"), least=7).collect()}
+    assert got[500] < 10
+    assert secrets.scan_secrets(spark.createDataFrame([(5, rows[0][1])] * 2, DOCS)).count() == 2
+
+
 # Language model
 
 
