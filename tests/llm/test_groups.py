@@ -107,6 +107,44 @@ def test_twins_inside_one_boilerplate_family(spark):
     assert sorted(sorted(m) for m in found.values()) == want
 
 
+def test_dense_families_are_compared_in_blocks(spark, monkeypatch):
+    # Few partners are compared one by one, many in blocks; both ways find the same classes.
+    random.seed(5)
+    word = lambda: f"w{random.randrange(10**6)}"
+    passage = [word() for _ in range(172)]
+    rows = []
+    for i in range(40):
+        own = [word() for _ in range(28)]
+        rows += [(2 * i, " ".join(passage + own)), (2 * i + 1, " ".join(passage + own[:12] + [word() for _ in range(16)]))]
+    want = brute_classes(rows)
+    monkeypatch.setattr(near_dedup, "PAIRS", 1)
+    monkeypatch.setattr(near_dedup, "SET_BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "SKETCH_BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "PART", 4)
+    found = defaultdict(list)
+    for r in near_dedup.near_classes(spark.createDataFrame(rows, DOCS), rows=1, bands=8).collect():
+        found[r.class_id].append(r.id)
+    assert sorted(sorted(m) for m in found.values()) == want
+
+
+def test_recall_on_the_small_tables(spark):
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("the driver's tables are not here")
+    df = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    sets = [(r.doc_id, shingles(r.text)) for r in df.collect()]
+    places = defaultdict(set)
+    for i, (_, s) in enumerate(sets):
+        for g in s:
+            places[g].add(i)
+    pairs = {p for own in places.values() if len(own) > 1 for p in combinations(sorted(own), 2)}  # all that share a shingle
+    true = [(a, b) for a, b in pairs if jaccard(sets[a][1], sets[b][1]) >= 0.8]
+    label = {r.id: r.class_id for r in near_dedup.near_classes(df).collect()}
+    caught = sum(label[sets[a][0]] == label[sets[b][0]] for a, b in true)
+    print("pairs", len(true), "recall", caught / len(true))
+    assert caught / len(true) >= 0.99
+
+
 @pytest.mark.parametrize("columns", [7, 4096])
 def test_close_pairs_equal_single_comparisons(monkeypatch, columns):
     monkeypatch.setattr(near_dedup, "COLUMNS", columns)
@@ -202,6 +240,13 @@ def test_archives(spark, tmp_path):
     assert warc.read_records(warc.write_archives(warc.plan_records(df.limit(0)), f"{folder}0"), f"{folder}0").count() == 0
 
 
+def test_record_headers():
+    date = "2026-01-02T03:04:05Z"
+    a, b = (warc.parse(warc.record(7, "http://h/a%41b?c=%25", b"x", "d", None, name, date))[0] for name in ("f/0", "f/9"))
+    assert a["WARC-Date"] == date and a["WARC-Target-URI"] == "http://h/a%41b?c=%25" and a["WARC-Record-ID"] != b["WARC-Record-ID"]
+    assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "Content-Type"} <= a.keys()
+
+
 def test_damage_is_an_error():
     good = warc.record(1, "u", b"abc", hashlib.sha1(b"abc").hexdigest(), None)
     heads, body = warc.parse(good)
