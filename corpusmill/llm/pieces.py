@@ -5,8 +5,8 @@ every pair of neighbours whose union is a piece, best score and then leftmost fi
 the agenda is empty. With dropout each candidate that comes up is skipped by its own chance, drawn from the
 seed, the document's id and the word's position in it; hence every occurrence of a word is segmented on its
 own, and all repeats exactly for the same seed. How many candidates pass until the next skip is geometric: an
-occurrence whose first skip lies beyond the word's merges takes the undropped form, and forms after the same
-skips are remembered, to any number of forms a word. Characters that
+occurrence whose first skip lies beyond the word's merges takes the undropped form, which is remembered; the others
+are merged one by one, many side by side in numpy. Characters that
 are no piece become byte pieces, also the space mark itself where a text holds it, so that decoding gives
 back every text exactly.
 
@@ -37,17 +37,18 @@ from pyspark.sql import functions as F
 from .common import slices, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, REMEMBER = 0.1, 17, 250_000
+DROPOUT, SEED, REMEMBER = 0.1, 17, 100_000
 MARK = "▁"
 #: Stands for a space mark that the text itself holds; a lone surrogate, which no text can hold.
 OWN_MARK = "\udc81"
 #: Words longer than this keep their agenda in a heap instead of a list, and their forms are not remembered.
 LONG = 48
-#: Forms of a word are remembered up to this many skips.
-DEEP = 2
+#: Cells of the tables in which words are merged side by side; the rank of what is no piece.
+CELLS, NEVER = 1 << 17, (1 << 31) - 1
 #: The skip hash works on 30 bits, which Python multiplies fast.
 _ODD, _PLACE, _BITS = 0x2C1B3C6D, 0x165667B1, 30
 _MASK = (1 << _BITS) - 1
+_U = np.uint64
 
 
 class Vocabulary:
@@ -73,6 +74,40 @@ class Vocabulary:
         #: A fixed random number for each piece, part of the skip decision's key.
         self.salt = {p: xxhash.xxh64_intdigest(p.encode(), 3) & _MASK for p in self.id}
         self.words = self._cuts()
+        self._tables()
+
+    def _tables(self) -> None:
+        """Numbers the symbols, pieces and the characters in them, from 1; 0 is any other character. ``union`` looks up what
+        two of them make, among all cuts of pieces in two."""
+        symbols = sorted({*self.id, *(c for p in self.id for c in p)})
+        number = {s: i for i, s in enumerate(symbols, 1)}
+        self.char = np.zeros(0x110000, np.int32)
+        for s in symbols:
+            if len(s) == 1:
+                self.char[ord(s)] = number[s]
+        self.id_of = np.array([-1, *(self.id.get(s, -1) for s in symbols)], np.int64)
+        order = {c: i for i, c in enumerate(sorted(set(self.cost.values())))}
+        self.rank = np.array([NEVER, *(order[self.cost[s]] if s in self.cost else NEVER for s in symbols)], np.int32)
+        self.base = len(symbols) + 1
+        pairs = {}
+        for p in self.id:
+            for i in range(1, len(p)):
+                a, b = number.get(p[:i]), number.get(p[i:])
+                if a and b:
+                    pairs[a * self.base + b] = number[p]
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.pair_made = np.array([pairs[k] for k in self.pairs.tolist()], np.int64)
+
+    def union(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The piece that symbols ``a`` and ``b`` make, 0 if none."""
+        pair = a * self.base + b
+        place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where(self.pairs[place] == pair, self.pair_made[place], 0)
+
+    def spelled(self, code: int) -> list[int]:
+        """The byte pieces of a character."""
+        c = chr(code)
+        return [self.byte[b] for b in (MARK if c == OWN_MARK else c).encode()]
 
     def _cuts(self) -> re.Pattern:
         """Finds the words. Besides space marks and newlines, a run of letters and digits ends before a
@@ -146,64 +181,28 @@ def _merge_long(word: str, cost: dict[str, float], salt, key: int, limit: int) -
     return [s for s in symbol if s is not None]
 
 
-def merge_skipping(word: str, cost: dict[str, float], gaps: list[int]) -> tuple[list[str], int]:
-    """Symbols of ``word`` if, time after time, as many candidates as the next of ``gaps`` says are merged and one
-    is skipped, and the number of candidates after the last skip, which are all merged."""
-    symbols = list(word)
-    never = float("inf")
-    agenda = [cost.get(word[i : i + 2], never) for i in range(len(word) - 1)]
-    skips = [*reversed(gaps)]
-    left, after = skips.pop() if skips else -1, 0
-    while agenda:
-        least = min(agenda)
-        if least == never:
-            break
-        i = agenda.index(least)
-        if left == 0:
-            agenda[i] = never
-            left, after = skips.pop() if skips else -1, 0
-            continue
-        left, after = left - 1, after + 1
-        piece = symbols[i] + symbols[i + 1]
-        symbols[i] = piece
-        del symbols[i + 1], agenda[i]
-        if i:
-            agenda[i - 1] = cost.get(symbols[i - 1] + piece, never)
-        if i < len(agenda):
-            agenda[i] = cost.get(piece + symbols[i + 1], never)
-    return symbols, after
-
-
-_WHOLE = (1 << 64) - 1
-
+_STEP = 0x9E3779B97F4A7C15
 
-def _next(x: int) -> int:
-    """The random number after ``x`` in an occurrence's series."""
-    x = (x + 0x9E3779B97F4A7C15) & _WHOLE
-    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _WHOLE
-    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _WHOLE
-    return x ^ (x >> 31)
 
-
-class Form:
-    """Ids of a word after some skips, the number of candidates after the last, and the forms after one more
-    skip by its place among these. ``size`` counts the forms below a word's first one and itself."""
-
-    __slots__ = ("after", "ids", "more", "size")
-
-    def __init__(self, after: float, ids: bytes):
-        self.after, self.ids, self.more, self.size = after, ids, None, 1
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The random numbers after ``x`` in the series of their occurrences."""
+    with np.errstate(over="ignore"):
+        x = x + _U(_STEP)
+        x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+        return x ^ (x >> _U(31))
 
 
 class Encoder:
-    """Encodes texts to id bytes (little-endian int32). Remembers words in two generations, so that the
-    frequent ones stay; what is remembered changes speed only."""
+    """Encodes texts to id bytes (little-endian int32). Undropped forms of words are remembered in two generations,
+    so that the frequent ones stay; what is remembered changes speed only."""
 
     def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED, remember: int = REMEMBER):
         self.v, self.dropout, self.seed, self.most = vocabulary, dropout, seed, remember
-        self.new: dict[str, Form] = {}
-        self.old: dict[str, Form] = {}
-        self.held, self.limit = 0, int(dropout * (1 << _BITS))
+        #: Word: number of its merges and ids.
+        self.new: dict[str, tuple[float, bytes]] = {}
+        self.old: dict[str, tuple[float, bytes]] = {}
+        self.limit = int(dropout * (1 << _BITS))
         self.rate = math.log1p(-dropout) if dropout < 1 else -math.inf
 
     def _ids(self, symbols: list[str]) -> bytes:
@@ -214,65 +213,136 @@ class Encoder:
             if found is not None:
                 out.append(found)
             else:
-                out.extend(v.byte[b] for b in (MARK if s == OWN_MARK else s).encode())
+                out.extend(v.spelled(ord(s)))
         return array("i", out).tobytes()
 
-    def _form(self, word: str, gaps: list[int]) -> Form:
-        symbols, after = merge_skipping(word, self.v.cost, gaps)
-        return Form(after, self._ids(symbols))
-
-    def _missing(self, word: str) -> Form:
-        form = self.old.get(word)
-        if form is None:
-            if len(word) <= LONG:
-                form = self._form(word, [])
-            else:
+    def _gaps(self, x: np.ndarray) -> np.ndarray:
+        """Candidates that pass until the next skip, geometric, from random numbers."""
+        return np.floor(np.log(((x >> _U(11)).astype(np.float64) + 1.0) / (1 << 53)) / self.rate)
+
+    def _merged(self, words: list[str], gaps: np.ndarray, x: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """Ids of each word, and its number of merges, if ``gaps`` candidates are merged before the first skip and
+        the random numbers after ``x`` give the further gaps. Words of about one length are merged side by side."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        cells = lengths[order] + 2
+        out: list[bytes] = [b""] * len(words)
+        merges = np.zeros(len(words), np.int64)
+        start = 0
+        while start < len(words):
+            room = np.searchsorted(cells[start : start + CELLS] * np.arange(1, min(CELLS, len(words) - start) + 1), CELLS, "right")
+            part = order[start : start + max(1, int(room))]
+            found, merges[part] = self._side_by_side([words[i] for i in part.tolist()], lengths[part], gaps[part], x[part])
+            for i, ids in zip(part.tolist(), found, strict=True):
+                out[i] = ids
+            start += len(part)
+        return out, merges
+
+    def _side_by_side(self, words: list[str], lengths: np.ndarray, left: np.ndarray, x: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        v, n, w = self.v, len(words), int(lengths.max()) + 2
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        own = np.repeat(np.arange(n), lengths)
+        # A row for each word: symbols between two empty ones, linked to their neighbours.
+        cell = own * w + np.arange(1, len(codes) + 1) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        symbol, code, made = np.zeros(n * w, np.int64), np.zeros(n * w, np.uint32), np.zeros(n * w, np.int64)
+        symbol[cell], code[cell] = v.char[codes], codes
+        after, before = np.arange(1, n * w + 1), np.arange(-1, n * w - 1)
+        live = np.zeros(n * w, bool)
+        live[cell] = True
+        agenda = np.full(n * w, NEVER, np.int32)
+        made[cell] = v.union(symbol[cell], symbol[cell + 1])
+        agenda[cell] = v.rank[made[cell]]
+        agenda = agenda.reshape(n, w)
+        merges, rows = np.zeros(n, np.int64), np.arange(n)
+        while len(rows):
+            best = agenda.argmin(axis=1)
+            on = agenda[np.arange(len(rows)), best] != NEVER
+            if not on.all():
+                agenda, rows, best, left, x = agenda[on], rows[on], best[on], left[on], x[on]
+            flat, here = agenda.reshape(-1), np.arange(len(rows)) * w + best
+            skip = left < 1
+            left = left - 1
+            if skip.any():
+                flat[here[skip]] = NEVER
+                x[skip] = _mixed(x[skip])
+                left[skip] = self._gaps(x[skip])
+            go = ~skip
+            here, at = here[go], (rows * w + best)[go]
+            merges[rows[go]] += 1
+            gone, left_of = after[at], before[at]
+            right_of = after[gone]
+            s = made[at]
+            symbol[at], live[gone] = s, False
+            after[at], before[right_of] = right_of, at
+            flat[here + gone - at] = NEVER
+            for place, union in ((at, v.union(s, symbol[right_of])), (left_of, v.union(symbol[left_of], s))):
+                made[place] = union
+                flat[here + place - at] = v.rank[union]
+        at = np.flatnonzero(live)
+        ids = v.id_of[symbol[at]]
+        sizes = np.ones(len(at), np.int64)
+        for i in np.flatnonzero(ids < 0).tolist():
+            sizes[i] = len(v.spelled(int(code[at[i]])))
+        ends = np.cumsum(np.bincount(at // w, weights=sizes, minlength=n).astype(np.int64)) * 4
+        spelled = np.flatnonzero(ids < 0)
+        if len(spelled):
+            places = np.cumsum(sizes) - sizes
+            whole = np.repeat(ids, sizes)
+            for i in spelled.tolist():
+                whole[places[i] : places[i] + sizes[i]] = v.spelled(int(code[at[i]]))
+            ids = whole
+        raw = ids.astype("<i4").tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], merges
+
+    def _learn(self, words: list[str]) -> None:
+        """Remembers the undropped forms of words."""
+        fresh = []
+        for word in words:
+            form = self.old.get(word)
+            if form is not None:
+                self.new[word] = form
+            elif len(word) > LONG:
                 # With dropout a long word is merged anew each time: no first skip is beyond its candidates.
-                form = Form(math.inf, b"" if self.dropout else self._ids(merge(word, self.v.cost)))
-        self.new[word] = form
-        self.held += form.size
-        return form
-
-    def _dropped(self, word: str, first: Form, gap: float, x: int) -> bytes:
-        """Ids of an occurrence whose first skip is after ``gap`` merges and whose random number is ``x``."""
-        if len(word) > LONG:
-            return self._ids(merge(word, self.v.cost, self.v.salt, _next(x) & _MASK, self.limit))
-        form, gaps = first, []
-        while gap < form.after:
-            gaps.append(int(gap))
-            after = form.more.get(gap) if form.more else None
-            if after is None:
-                after = self._form(word, gaps)
-                if len(gaps) <= DEEP:
-                    if form.more is None:
-                        form.more = {}
-                    form.more[gap] = after
-                    first.size += 1
-                    self.held += 1
-            form, x = after, _next(x)
-            gap = math.log(((x >> 11) + 1) / (1 << 53)) / self.rate // 1
-        return form.ids
+                self.new[word] = (math.inf, b"" if self.dropout else self._ids(merge(word, self.v.cost)))
+            else:
+                fresh.append(word)
+        if fresh:
+            ids, merges = self._merged(fresh, np.full(len(fresh), np.inf), np.zeros(len(fresh), _U))
+            self.new.update(zip(fresh, zip(merges.tolist(), ids, strict=True), strict=True))
+
+    def batch(self, texts: list[str], keys: list[str]) -> list[bytes]:
+        """Ids of texts whose draws are keyed by ``keys``."""
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        find = self.v.words.findall
+        found = [find(MARK + t.replace(MARK, OWN_MARK).replace(" ", MARK)) if t else [] for t in texts]
+        counts = np.array([len(f) for f in found], np.int64)
+        words = [w for f in found for w in f]
+        get = self.new.get
+        forms = [get(w) for w in words]
+        if None in forms:
+            self._learn(list(dict.fromkeys(w for w, f in zip(words, forms, strict=True) if f is None)))
+            forms = [f or get(w) for w, f in zip(words, forms, strict=True)]
+        out = [f[1] for f in forms]
+        if self.dropout and words:
+            starts = np.array([xxhash.xxh64_intdigest(k, self.seed) for k in keys], _U)
+            place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
+            with np.errstate(over="ignore"):
+                x = _mixed((place.astype(_U) + np.repeat(starts, counts) - _U(1)) * _U(_STEP))
+            gaps = self._gaps(x)
+            hit = np.flatnonzero(gaps < np.fromiter((f[0] for f in forms), np.float64, len(forms)))
+            short = [i for i in hit.tolist() if len(words[i]) <= LONG]
+            for i in (i for i in hit.tolist() if len(words[i]) > LONG):
+                out[i] = self._ids(merge(words[i], self.v.cost, self.v.salt, int(_mixed(x[i : i + 1])[0]) & _MASK, self.limit))
+            if short:
+                ids, _ = self._merged([words[i] for i in short], gaps[short], x[short])
+                for i, made in zip(short, ids, strict=True):
+                    out[i] = made
+        ends = np.cumsum(counts).tolist()
+        return [b"".join(out[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def __call__(self, text: str, key: str) -> bytes:
-        if not text:
-            return b""
-        if MARK in text:
-            text = text.replace(MARK, OWN_MARK)
-        words = self.v.words.findall(MARK + text.replace(" ", MARK))
-        if self.held >= self.most:
-            self.old, self.new, self.held = self.new, {}, 0
-        get, missing, dropped = self.new.get, self._missing, self._dropped
-        forms = [get(w) or missing(w) for w in words]
-        if not self.dropout:
-            return b"".join([f.ids for f in forms])
-        start = np.uint64(xxhash.xxh64_intdigest(key, self.seed))
-        with np.errstate(over="ignore"):
-            x = (np.arange(len(words), dtype=np.uint64) + start) * np.uint64(0x9E3779B97F4A7C15)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x = x ^ (x >> np.uint64(31))
-        gaps = np.floor(np.log(((x >> np.uint64(11)).astype(np.float64) + 1.0) / (1 << 53)) / self.rate).tolist()
-        return b"".join([f.ids if g >= f.after else dropped(w, f, g, y) for w, f, g, y in zip(words, forms, gaps, x.tolist(), strict=True)])
+        return self.batch([text], [key])[0]
 
 
 def decode(ids, vocabulary: Vocabulary) -> str:
@@ -301,7 +371,7 @@ def encode_documents(docs: DataFrame, id_col="doc_id", text_col="text", vocabula
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 copies = part.column(2).to_pylist()
                 keys = [("" if i is None else str(i)) + (f"\x00{c}" if c else "") for i, c in zip(part.column(0).to_pylist(), copies, strict=True)]
-                ids = [encoder(t, k) for t, k in zip(texts, keys, strict=True)]
+                ids = encoder.batch(texts, keys)
                 lossless = [decode(np.frombuffer(x, "<i4").tolist(), v) == t for x, t in zip(ids, texts, strict=True)]
                 sizes = [len(x) // 4 for x in ids]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))

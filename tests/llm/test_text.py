@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -397,6 +398,58 @@ def test_list_and_heap_agendas_agree(vocabulary, word, key, dropout):
     assert pieces.merge(*args) == pieces._merge_long(*args)
 
 
+def drawn(text, key, v, dropout, seed=pieces.SEED):
+    """Ids by the definition, word by word and candidate by candidate, on strings, for words up to LONG."""
+    out, whole = [], (1 << 64) - 1
+    start = xxhash.xxh64_intdigest(key, seed)
+
+    def following(x):
+        x = (x + 0x9E3779B97F4A7C15) & whole
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & whole
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & whole
+        return x ^ (x >> 31)
+
+    def gap(x):
+        return math.floor(math.log(((x >> 11) + 1) / (1 << 53)) / math.log(1 - dropout))
+
+    text = text.replace("▁", pieces.OWN_MARK).replace(" ", "▁")
+    for turn, word in enumerate(v.words.findall("▁" + text) if text else []):
+        x = following(((start + turn - 1) * 0x9E3779B97F4A7C15) & whole)
+        symbols, skipped, left = [(c, i) for i, c in enumerate(word)], set(), gap(x)
+        while True:
+            pairs = [(v.cost[a + b], i, a + b) for (a, i), (b, _) in zip(symbols, symbols[1:]) if a + b in v.cost and (i, a + b) not in skipped]
+            if not pairs:
+                break
+            _, i, piece = min(pairs)
+            if left == 0:
+                skipped.add((i, piece))
+                x = following(x)
+                left = gap(x)
+                continue
+            left -= 1
+            n = [p for _, p in symbols].index(i)
+            symbols[n : n + 2] = [(piece, i)]
+        for s, _ in symbols:
+            out += [v.id[s]] if s in v.id else [v.byte[b] for b in s.replace(pieces.OWN_MARK, "▁").encode()]
+    return out
+
+
+def test_merging_side_by_side_is_merging_one_by_one(spark, vocabulary):
+    random.seed(5)
+    letters = "etaoinsrhldcumfpgwybv" + "éß日▁.,\n" + "\U0001f600"
+    texts = ["".join(random.choice(letters) if random.random() < 0.85 else " " for _ in range(random.randint(0, 120))) for _ in range(150)]
+    texts += [None, "", " ", "▁", "internationalisation of the newspapers " * 30]
+    # Words up to LONG only: longer ones have draws of another kind.
+    texts = [t and " ".join(w[: pieces.LONG - 2] for w in t.split(" ")) for t in texts]
+    for dropout in (0.1, 0.5, 0.9):
+        got = pieces.encode_documents(spark.createDataFrame(list(enumerate(texts)), DOCS), dropout=dropout).collect()
+        assert {r.id: list(r.ids) for r in got} == {i: drawn(t or "", str(i), vocabulary, dropout) for i, t in enumerate(texts)}
+    # The same, whatever stands beside a text.
+    one, two = pieces.Encoder(vocabulary, 0.1), pieces.Encoder(vocabulary, 0.1)
+    given, keys = [t or "" for t in texts], [str(i) for i in range(len(texts))]
+    assert one.batch(given, keys) == [two(t, k) for t, k in zip(given, keys)]
+
+
 def test_encoded_documents(spark, vocabulary):
     rows = [(1, "hello world"), (2, None), (3, ""), (None, "x"), (1, "hello world"), (4, "word " * 30_000), (5, "a" * 20_000)]
     df = spark.createDataFrame(rows, DOCS)
