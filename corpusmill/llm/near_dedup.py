@@ -376,11 +376,11 @@ def close_pairs(left: list[bytes], right: list[bytes], threshold: float) -> tupl
     return np.nonzero(both / (whole - both) >= threshold)
 
 
-def _blocks(rows: DataFrame, size: Column) -> DataFrame:
+def _blocks(rows: DataFrame, size: Column, held: DataFrame | None = None) -> DataFrame:
     """``rows`` (bucket, key, label, ...), several times each, with cell and side: every two rows of a bucket with
     different labels are in one cell, on different sides. ``size`` gives a group's number of blocks from its rows. The
     largest class of a bucket is dealt to blocks once; the others' members meet each of these, and their own blocks
-    each other."""
+    each other. ``held`` (key, ...) is joined once, to rows that have a cell."""
     classes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
     top = classes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("classes"))
     top = top.filter("classes > 1").withColumnRenamed("bucket", "b")
@@ -388,6 +388,9 @@ def _blocks(rows: DataFrame, size: Column) -> DataFrame:
     sizes = classes.join(top, F.col("bucket") == F.col("b")).groupBy("bucket", (F.col("label") == F.col("top")).alias("m")).agg(size.alias("blocks"))
     sizes = sizes.groupBy(F.col("bucket").alias("s")).agg(F.max(F.when(F.col("m"), F.col("blocks"))).alias("major_blocks"), F.max(F.when(~F.col("m"), F.col("blocks"))).alias("minor_blocks"))
     marked = marked.join(sizes, F.col("bucket") == F.col("s"))
+    columns = rows.columns
+    if held is not None:
+        marked, columns = marked.join(held, "key"), [*columns, *(c for c in held.columns if c != "key")]
     to = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
     hashed = F.xxhash64("key")
     nothing = F.lit(0)
@@ -398,7 +401,7 @@ def _blocks(rows: DataFrame, size: Column) -> DataFrame:
         F.transform(F.sequence(F.lit(0), own), lambda i: to(1, i, own, 1)),
     )
     roles = F.when(F.col("major"), F.array(to(0, own_major, nothing, 0))).otherwise(minor)
-    return marked.select(*rows.columns, F.explode(roles).alias("cell")).select(*rows.columns, "cell.*")
+    return marked.select(*columns, F.explode(roles).alias("cell")).select(*columns, "cell.*")
 
 
 def _compared(rows: DataFrame, payload: str, compare, schema: str, names: tuple[str, ...]) -> DataFrame:
@@ -484,7 +487,8 @@ def _complete(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: Dat
     open_ = stored(named.join(split, F.col("bucket") == F.col("b"), "left_semi").select("bucket", "key", "label"), "split")
     if not open_.take(1):
         return open_.select(F.col("key").alias("x"), F.col("key").alias("y"))
-    sized = open_.join(nodes.select("key", "weight", "sketch"), "key")
+    # Written once: the plan of the cells reads it several times.
+    sized = stored(open_.join(nodes.select("key", "weight", "sketch"), "key"), "sized")
     cells = _blocks(sized, F.ceil(F.sum("n") / SKETCH_BLOCK).cast("int"))
     near = stored(_compared(cells, "sketch", _alike(threshold), "bucket bigint, x binary, y binary", ("bucket", "x", "y")), "alike")
     links = verified(near.filter("y IS NOT NULL").select("x", "y").distinct(), sets, threshold)
@@ -493,7 +497,7 @@ def _complete(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: Dat
     if not dense.take(1):
         return links
     number = F.ceil(F.greatest(F.sum("n") / SET_BLOCK, F.sum("weight") / SET_REGIONS)).cast("int")
-    cells = _blocks(dense.join(sets, "key"), number)
+    cells = _blocks(dense, number, sets)
     found = _compared(cells, "regions", _spanning(threshold), "x binary, y binary", ("x", "y"))
     return links.unionByName(stored(found.distinct(), "complete"))
 
