@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,44 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch sent to Python, and bytes from which a freed block goes back to the system at once.
+BATCH_BYTES, MAPPED = 4 << 20, 4 << 20
+_M_TRIM_THRESHOLD, _M_MMAP_THRESHOLD = -1, -3
+
+
+def _give_back(start: bool) -> None:
+    """Keeps a worker's memory near what its task uses. The allocator of the C library otherwise raises its limit for
+    blocks of their own with every large array and then holds what is freed, for as long as the worker lives.
+    Other C libraries have no such calls."""
+    libc = ctypes.CDLL(None)
+    if start and hasattr(libc, "mallopt"):
+        libc.mallopt(_M_MMAP_THRESHOLD, MAPPED)
+        libc.mallopt(_M_TRIM_THRESHOLD, MAPPED)
+    if not start:
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+
+def in_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``rows.mapInArrow(run, schema)`` with bounded memory: batches of about BATCH_BYTES on both sides unless the
+    session asks for smaller ones, and workers that hand back what a task has freed."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = rows.sparkSession.conf
+    number, unit = re.match(r"(\d+)([kmgtp]?)", conf.get(name).strip().lower()).groups()
+    if int(number) << 10 * " kmgtp".index(unit or " ") > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _give_back(True)
+        try:
+            yield from run(batches)
+        finally:
+            _give_back(False)
+
+    return rows.mapInArrow(lean, schema)
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` to a lambda variable, so that ``body`` may use it often and inside inner
     lambdas while it is evaluated once for each row."""

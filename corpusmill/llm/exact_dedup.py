@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, bitmap_table, fresh, maybe_among, stored, table, text_of
+from .common import SPACE, bitmap_table, fresh, in_arrow, maybe_among, stored, table, text_of
 
 COUNTERS = 1024
 
@@ -55,7 +55,7 @@ def frequent_digests(rows: DataFrame, counters: int = COUNTERS) -> DataFrame:
             {"digest": pa.array(list(held), pa.binary()), "n": pa.array(list(held.values()), pa.int64())}
         )
 
-    partial = rows.select("digest").mapInArrow(sketch, "digest binary, n long")
+    partial = in_arrow(rows.select("digest"), sketch, "digest binary, n long")
     summed = partial.groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1")
     return summed.orderBy(F.desc("n"), "digest").limit(counters).select("digest")
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bitmap_table, fresh, key_bitmap, maybe_among, slices, stored, table
+from .common import bitmap_table, fresh, in_arrow, key_bitmap, maybe_among, slices, stored, table
 
 K, ROWS, BANDS = 128, 5, 25
 SHINGLE, THRESHOLD = 5, 0.8
@@ -226,7 +226,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k=K, rows=ROWS, band
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names=["id", "digest", "key", "weight", "bands", "sketch"])
 
     given = docs.select(F.col(id_col).alias("id"), digest_of(text_col).alias("digest"), F.encode(F.col(text_col), "UTF-8").alias("text"))
-    return given.mapInArrow(run, f"{schema}, digest string, key binary, weight bigint, bands array<bigint>, sketch binary")
+    return in_arrow(given, run, f"{schema}, digest string, key binary, weight bigint, bands array<bigint>, sketch binary")
 
 
 def digest_of(text_col: str) -> Column:
@@ -263,7 +263,7 @@ def multisets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
                 if rows:
                     yield _binary(rows, ("key", "regions"))
 
-    return docs.select(F.encode(F.col(text_col), "UTF-8").alias("text")).mapInArrow(run, "key binary, regions binary")
+    return in_arrow(docs.select(F.encode(F.col(text_col), "UTF-8").alias("text")), run, "key binary, regions binary")
 
 
 def _binary(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
@@ -290,7 +290,7 @@ def likely(links: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
                 good = (a == b).sum(axis=1) >= least_agreement(threshold, a.shape[1])
                 yield part.filter(pa.array(good)).select([0, 1])
 
-    return pairs.select("x", "y", "a", "b").mapInArrow(run, "x binary, y binary")
+    return in_arrow(pairs.select("x", "y", "a", "b"), run, "x binary, y binary")
 
 
 def verified(links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -322,7 +322,7 @@ def verified(links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                     yield _binary(good, ("x", "y"))
 
     dealt = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "side")
-    return stored(dealt.mapInArrow(run, "x binary, y binary"), "verified")
+    return stored(in_arrow(dealt, run, "x binary, y binary"), "verified")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -427,7 +427,7 @@ def _compared(rows: DataFrame, payload: str, compare, schema: str, names: tuple[
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(names))
 
     dealt = rows.select(*group, "side", "key", "label", payload).repartition(*group).sortWithinPartitions(*group, "side")
-    return dealt.mapInArrow(run, schema)
+    return in_arrow(dealt, run, schema)
 
 
 def _alike(threshold: float):

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import in_arrow, slices, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED, REMEMBER = 0.1, 17, 100_000
@@ -379,7 +379,8 @@ def encode_documents(docs: DataFrame, id_col="doc_id", text_col="text", vocabula
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "n_pieces", "lossless"])
 
     copy = F.col(copy_col).cast("long") if copy_col else F.lit(0).cast("long")
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), copy.alias("copy")).mapInArrow(run, f"id {id_type}, ids array<int>, n_pieces int, lossless boolean")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), copy.alias("copy"))
+    return in_arrow(rows, run, f"id {id_type}, ids array<int>, n_pieces int, lossless boolean")
 
 
 def decode_documents(encoded: DataFrame, ids_col="ids", vocabulary=VOCABULARY) -> DataFrame:

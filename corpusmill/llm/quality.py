@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, slices, stored, table
+from .common import fresh, in_arrow, slices, stored, table
 
 BITS, MAX_ROWS, STEPS, RATE, DECAY, LEAST = 18, 16_384, 200, 0.05, 1e-3, 8
 GRADES = 3
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col="doc_id", text_col="text", m
     # At most max_rows rows, hence a proven bound for the broadcast.
     rated = texts.join(F.broadcast(chosen), texts["id"] == chosen["rated"]).select("rated", "grade", "text")
     id_type = ratings.schema["rated"].dataType.simpleString()
-    made = stored(rated.mapInArrow(run, f"rated {id_type}, grade int, places binary"), "features")
+    made = stored(in_arrow(rated, run, f"rated {id_type}, grade int, places binary"), "features")
     # Repeated documents could exceed the bound; the fit takes the first max_rows again, in the same order.
     order = F.xxhash64(F.col("rated").cast("string"))
     rows = sorted(((str(r.rated), r.grade, bytes(r.places)) for r in made.orderBy(order, "rated", "grade", "places").limit(max_rows).toLocalIterator()))
@@ -183,7 +183,7 @@ def grade_documents(docs: DataFrame, model: Ordinal, id_col="doc_id", text_col="
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "expected_grade", "tail_1", "tail_2", "kept"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
-    return texts.mapInArrow(run, f"id {id_type}, expected_grade double, tail_1 double, tail_2 double, kept boolean")
+    return in_arrow(texts, run, f"id {id_type}, expected_grade double, tail_1 double, tail_2 double, kept boolean")
 
 
 def select_documents(docs: DataFrame, model: Ordinal, text_col="text", keep_from=KEEP_FROM) -> DataFrame:
@@ -200,7 +200,7 @@ def select_documents(docs: DataFrame, model: Ordinal, text_col="text", keep_from
                 tails = shared.value.tails([features(t) for t in part.column(last).to_pylist()])
                 yield part.select(range(last)).filter(pa.array(tails[:, 1] >= keep_from))
 
-    return docs.withColumn(name, F.encode(F.col(text_col), "UTF-8")).mapInArrow(run, schema)
+    return in_arrow(docs.withColumn(name, F.encode(F.col(text_col), "UTF-8")), run, schema)
 
 
 def op5_quality_classifier(spark, sf_dir):
