@@ -35,6 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.window import Window
 
 from .common import bitmap_table, fresh, in_arrow, key_bitmap, maybe_among, slices, stored, table
@@ -48,6 +49,8 @@ PAIRS = 8
 #: Regions of a pass of a matrix product.
 COLUMNS = 4096
 _U = np.uint64
+_LINKS = pa.schema([("x", pa.binary()), ("y", pa.binary())])
+_ALIKE = pa.schema([("bucket", pa.int64()), *_LINKS])
 #: Bytes of text and documents of a pass of the signature kernel, and bytes below which documents are passed apart.
 PASS_BYTES, PASS_DOCS, SMALL = 1 << 20, 1024, 384
 
@@ -404,7 +407,7 @@ def _blocks(rows: DataFrame, size: Column, held: DataFrame | None = None) -> Dat
     return marked.select(*columns, F.explode(roles).alias("cell")).select(*columns, "cell.*")
 
 
-def _compared(rows: DataFrame, payload: str, compare, schema: str, names: tuple[str, ...]) -> DataFrame:
+def _compared(rows: DataFrame, payload: str, compare, schema: pa.Schema) -> DataFrame:
     """What ``compare`` yields for the cells of :func:`_blocks`: it gets the rows (key, label, payload) of the first
     side, those of the second side some at a time, and a dictionary that lasts for the cell."""
     group = ["bucket", "kind", "i", "j"]
@@ -423,11 +426,12 @@ def _compared(rows: DataFrame, payload: str, compare, schema: str, names: tuple[
                 if left and right:
                     found += compare(now[0], left, right, memo)
                 if found:
+                    # Types are given, not inferred: a column may hold nothing but nulls.
                     columns = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(names))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     dealt = rows.select(*group, "side", "key", "label", payload).repartition(*group).sortWithinPartitions(*group, "side")
-    return in_arrow(dealt, run, schema)
+    return in_arrow(dealt, run, from_arrow_schema(schema))
 
 
 def _alike(threshold: float):
@@ -490,7 +494,7 @@ def _complete(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: Dat
     # Written once: the plan of the cells reads it several times.
     sized = stored(open_.join(nodes.select("key", "weight", "sketch"), "key"), "sized")
     cells = _blocks(sized, F.ceil(F.sum("n") / SKETCH_BLOCK).cast("int"))
-    near = stored(_compared(cells, "sketch", _alike(threshold), "bucket bigint, x binary, y binary", ("bucket", "x", "y")), "alike")
+    near = stored(_compared(cells, "sketch", _alike(threshold), _ALIKE), "alike")
     links = verified(near.filter("y IS NOT NULL").select("x", "y").distinct(), sets, threshold)
     dense = near.filter("y IS NULL").select("bucket", F.col("x").alias("key")).distinct()
     dense = stored(dense.join(sized.drop("sketch"), ["bucket", "key"]), "dense")
@@ -498,7 +502,7 @@ def _complete(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: Dat
         return links
     number = F.ceil(F.greatest(F.sum("n") / SET_BLOCK, F.sum("weight") / SET_REGIONS)).cast("int")
     cells = _blocks(dense, number, sets)
-    found = _compared(cells, "regions", _spanning(threshold), "x binary, y binary", ("x", "y"))
+    found = _compared(cells, "regions", _spanning(threshold), _LINKS)
     return links.unionByName(stored(found.distinct(), "complete"))
 
 

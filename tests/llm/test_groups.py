@@ -127,6 +127,24 @@ def test_dense_families_are_compared_in_blocks(spark, monkeypatch):
     assert sorted(sorted(m) for m in found.values()) == want
 
 
+def test_passes_with_and_without_dense_nodes(spark, monkeypatch):
+    # A pass may find pairs alone, dense nodes alone or both; its batch has the same types.
+    random.seed(6)
+    word = lambda: f"w{random.randrange(10**6)}"
+    rows = []
+    for _ in range(3):
+        passage = [word() for _ in range(172)]
+        for _ in range(6):
+            own = [word() for _ in range(28)]
+            rows += [(len(rows), " ".join(passage + own)), (len(rows) + 1, " ".join(passage + own[:12] + [word() for _ in range(16)]))]
+    monkeypatch.setattr(near_dedup, "PAIRS", 2)
+    monkeypatch.setattr(near_dedup, "slices", lambda batch, column, *_: common.slices(batch, column, most_rows=1))
+    found = defaultdict(list)
+    for r in near_dedup.near_classes(spark.createDataFrame(rows, DOCS), rows=1, bands=8).collect():
+        found[r.class_id].append(r.id)
+    assert sorted(sorted(m) for m in found.values()) == brute_classes(rows)
+
+
 def test_recall_on_the_small_tables(spark):
     folder = "/root/testdata/sf0.01"
     if not os.path.isdir(folder):
