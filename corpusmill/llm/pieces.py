@@ -26,6 +26,8 @@ import math
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -45,10 +47,13 @@ OWN_MARK = "\udc81"
 LONG = 48
 #: Cells of the tables in which words are merged side by side; the rank of what is no piece.
 CELLS, NEVER = 1 << 17, (1 << 31) - 1
+#: Slots of the table of pairs, as a power of two.
+SLOT_BITS = 19
 #: The skip hash works on 30 bits, which Python multiplies fast.
 _ODD, _PLACE, _BITS = 0x2C1B3C6D, 0x165667B1, 30
 _MASK = (1 << _BITS) - 1
 _U = np.uint64
+_STEP = 0x9E3779B97F4A7C15
 
 
 class Vocabulary:
@@ -68,6 +73,7 @@ class Vocabulary:
         self.bytes = [back.get(i, b"") for i in ids]
         for value, i in self.byte.items():
             self.bytes[i] = bytes([value])
+        self.binary = pa.array(self.bytes, pa.large_binary())
         if len(self.byte) != 256:
             raise ValueError("lossless encoding needs a vocabulary with all byte pieces")
         self.cost = {p: -s for p, s in self.score.items()}
@@ -97,12 +103,30 @@ class Vocabulary:
                     pairs[a * self.base + b] = number[p]
         self.pairs = np.array(sorted(pairs), np.int64)
         self.pair_made = np.array([pairs[k] for k in self.pairs.tolist()], np.int64)
+        # A table of slots by hash; the few pairs that share one are looked up in order.
+        slot = self._slot(self.pairs)
+        crowded = np.bincount(slot, minlength=1 << SLOT_BITS) > 1
+        self.slot_pair, self.slot_made = np.zeros(1 << SLOT_BITS, np.int64), np.zeros(1 << SLOT_BITS, np.int32)
+        self.slot_pair[slot], self.slot_made[slot] = self.pairs, self.pair_made
+        self.slot_pair[crowded], self.slot_made[crowded] = -1, 0
+
+    @staticmethod
+    def _slot(pair: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((pair.astype(_U) * _U(_STEP)) >> _U(64 - SLOT_BITS)).astype(np.int64)
 
     def union(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that symbols ``a`` and ``b`` make, 0 if none."""
         pair = a * self.base + b
-        place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-        return np.where(self.pairs[place] == pair, self.pair_made[place], 0)
+        slot = self._slot(pair)
+        known = self.slot_pair[slot]
+        made = np.where(known == pair, self.slot_made[slot], 0).astype(np.int64)
+        crowded = np.flatnonzero(known < 0)
+        if len(crowded):
+            pair = pair[crowded]
+            place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            made[crowded] = np.where(self.pairs[place] == pair, self.pair_made[place], 0)
+        return made
 
     def spelled(self, code: int) -> list[int]:
         """The byte pieces of a character."""
@@ -181,9 +205,6 @@ def _merge_long(word: str, cost: dict[str, float], salt, key: int, limit: int) -
     return [s for s in symbol if s is not None]
 
 
-_STEP = 0x9E3779B97F4A7C15
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     """The random numbers after ``x`` in the series of their occurrences."""
     with np.errstate(over="ignore"):
@@ -330,7 +351,7 @@ class Encoder:
             with np.errstate(over="ignore"):
                 x = _mixed((place.astype(_U) + np.repeat(starts, counts) - _U(1)) * _U(_STEP))
             gaps = self._gaps(x)
-            hit = np.flatnonzero(gaps < np.fromiter((f[0] for f in forms), np.float64, len(forms)))
+            hit = np.flatnonzero(gaps < np.fromiter(map(itemgetter(0), forms), np.float64, len(forms)))
             short = [i for i in hit.tolist() if len(words[i]) <= LONG]
             for i in (i for i in hit.tolist() if len(words[i]) > LONG):
                 out[i] = self._ids(merge(words[i], self.v.cost, self.v.salt, int(_mixed(x[i : i + 1])[0]) & _MASK, self.limit))
@@ -345,6 +366,22 @@ class Encoder:
         return self.batch([text], [key])[0]
 
 
+@lru_cache(maxsize=1)
+def _vocabulary(model: bytes) -> Vocabulary:
+    """One for all tasks of a worker."""
+    return Vocabulary(model)
+
+
+def decoded_to(ids: np.ndarray, sizes: list[int], texts: list[str], vocabulary: Vocabulary) -> list[bool]:
+    """Whether the ids of each text, ``sizes`` of them, decode to it: :func:`decode` of many texts at once, as bytes."""
+    taken = vocabulary.binary.take(pa.array(ids))
+    ends = np.cumsum([0, *sizes])
+    ends = np.frombuffer(taken.buffers()[1], np.int64)[ends].tolist() if len(ids) else ends.tolist()
+    data = taken.buffers()[2]
+    raw = data.to_pybytes() if data is not None else b""
+    return [raw[a + (raw[a : a + 1] == b" " and a < b) : b] == t.encode() for a, b, t in zip(ends[:-1], ends[1:], texts, strict=True)]
+
+
 def decode(ids, vocabulary: Vocabulary) -> str:
     """The text of ids; the space that encoding puts in front is taken off."""
     raw = b"".join(map(vocabulary.bytes.__getitem__, ids))
@@ -364,7 +401,7 @@ def encode_documents(docs: DataFrame, id_col="doc_id", text_col="text", vocabula
     model = _model_bytes(docs, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(model.value)
+        v = _vocabulary(model.value)
         encoder = Encoder(v, dropout, seed)
         for batch in batches:
             for part in slices(batch, 1):
@@ -372,9 +409,10 @@ def encode_documents(docs: DataFrame, id_col="doc_id", text_col="text", vocabula
                 copies = part.column(2).to_pylist()
                 keys = [("" if i is None else str(i)) + (f"\x00{c}" if c else "") for i, c in zip(part.column(0).to_pylist(), copies, strict=True)]
                 ids = encoder.batch(texts, keys)
-                lossless = [decode(np.frombuffer(x, "<i4").tolist(), v) == t for x, t in zip(ids, texts, strict=True)]
                 sizes = [len(x) // 4 for x in ids]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                flat = np.frombuffer(b"".join(ids), "<i4")
+                lossless = decoded_to(flat, sizes, texts, v)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(flat))
                 columns = [part.column(0), lists, pa.array(sizes, pa.int32()), pa.array(lossless)]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "n_pieces", "lossless"])
 

@@ -450,6 +450,20 @@ def test_merging_side_by_side_is_merging_one_by_one(spark, vocabulary):
     assert one.batch(given, keys) == [two(t, k) for t, k in zip(given, keys)]
 
 
+def test_unions_and_decoding_of_many_texts(vocabulary):
+    v = vocabulary
+    rng = np.random.default_rng(3)
+    pairs = np.concatenate((v.pairs, rng.integers(0, v.base**2, 50_000), [0, v.base**2 - 1]))
+    known = dict(zip(v.pairs.tolist(), v.pair_made.tolist(), strict=True))
+    assert (v.slot_pair < 0).any() and v.union(pairs // v.base, pairs % v.base).tolist() == [known.get(p, 0) for p in pairs.tolist()]
+    texts = ["", " a", "a  b\n", "\u2581 x\u2581", "caf\u00e9 \U0001f600", "", "end"]
+    ids = [np.frombuffer(x, "<i4") for x in pieces.Encoder(v).batch(texts, ["k"] * len(texts))]
+    flat, sizes = np.concatenate(ids), [len(x) for x in ids]
+    assert pieces.decoded_to(flat, sizes, texts, v) == [pieces.decode(x.tolist(), v) == t for x, t in zip(ids, texts, strict=True)] == [True] * 7
+    assert pieces.decoded_to(flat, sizes, ["x", *texts[1:6], "en"], v) == [False, True, True, True, True, True, False]
+    assert pieces.decoded_to(flat[:0], [0, 0], ["", "x"], v) == [True, False]
+
+
 def test_encoded_documents(spark, vocabulary):
     rows = [(1, "hello world"), (2, None), (3, ""), (None, "x"), (1, "hello world"), (4, "word " * 30_000), (5, "a" * 20_000)]
     df = spark.createDataFrame(rows, DOCS)
