@@ -22,9 +22,8 @@ unigram distribution: noise-contrastive estimation with ``NOISE`` samples a toke
 
 Every training document is visited, in ``rounds`` rounds of documents: a task trains a copy of the parameters on its
 documents of the round, and the changes of each row are averaged over tasks, weighted by the times that the task moved
-it. A document's targets are every ``stride``-th of its tokens, from an offset drawn for the document; all its tokens
-are contexts. Where there are fewer than ``visits`` tokens, a task takes a smaller stride, or visits its slices more than
-once. For given partitions of the input the result is reproducible.
+it. Every token of a document is a target, and a context of those after it. Where there are fewer than ``visits`` tokens, a
+task visits its slices more than once. For given partitions of the input the result is reproducible.
 
 The counts of the ``local_words`` most frequent words are broadcast, a bounded table which changes speed only; the other
 words of a document meet their counts in an ordinary join.
@@ -50,7 +49,7 @@ from pyspark.sql import functions as F
 
 from .common import frequent, slices, stored, table
 
-OWN, SUFFIXES, DIM, LAGS, ROUNDS, STRIDE, VISITS = 25, 256, 32, 2, 4, 16, 4_000_000
+OWN, SUFFIXES, DIM, LAGS, ROUNDS, VISITS = 25, 256, 32, 2, 4, 4_000_000
 #: Noise samples of a token, tokens of a batch, step size.
 NOISE, BATCH, RATE = 10, 8192, 0.1
 LOCAL_WORDS = 1 << 16
@@ -306,7 +305,7 @@ def _sigmoid(x: np.ndarray) -> None:
 _CHANGES = "name string, row long, n long, change binary"
 
 
-def _train_round(encoded: DataFrame, v, p: Parameters, number: int, rounds: int, stride: int, repeats: int, rate: float) -> Parameters:
+def _train_round(encoded: DataFrame, v, p: Parameters, number: int, rounds: int, repeats: int, rate: float) -> Parameters:
     """The parameters after a round. Tasks send the rows that they moved; these are averaged by executors, and the
     rows of the model come to the driver."""
     shared = encoded.sparkSession.sparkContext.broadcast(p)
@@ -321,9 +320,8 @@ def _train_round(encoded: DataFrame, v, p: Parameters, number: int, rounds: int,
                     trainer = Trainer(v.value, shared.value, rate, zlib.crc32(texts[0]) + number)
                 n = np.array([len(x) // 4 for x in texts])
                 leaves, places = with_starts(np.frombuffer(b"".join(texts), np.int32), n, lags, len(v.value.sizes))
-                offset = np.repeat(trainer.rng.integers(0, stride, len(n)), n)
-                for turn in range(repeats):
-                    trainer.visit(leaves, places[(np.arange(len(places)) + offset + turn) % stride == 0])
+                for _ in range(repeats):
+                    trainer.visit(leaves, places)
         if trainer is None:
             return
         for name in _NAMES:
@@ -447,14 +445,14 @@ def encode(docs: DataFrame, vocabulary, id_col="doc_id", text_col="text") -> Dat
     return rows.mapInArrow(run, schema)
 
 
-def train(encoded: DataFrame, vocabulary: Vocabulary, total: int, dim=DIM, lags=LAGS, rounds=ROUNDS, stride=STRIDE, visits=VISITS, rate=RATE) -> Parameters:
+def train(encoded: DataFrame, vocabulary: Vocabulary, total: int, dim=DIM, lags=LAGS, rounds=ROUNDS, visits=VISITS, rate=RATE) -> Parameters:
     """Parameters fitted on the training documents of :func:`encode`; ``total`` is their number of tokens."""
     p = Parameters.start(vocabulary, dim, lags)
     if total:
         shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
-        step, repeats = max(1, min(stride, total // visits)), max(1, min(16, visits // total))
+        repeats = max(1, min(16, visits // total))
         for number in range(rounds):
-            p = _train_round(encoded, shared, p, number, rounds, step, repeats, rate)
+            p = _train_round(encoded, shared, p, number, rounds, repeats, rate)
     return p
 
 

@@ -284,6 +284,15 @@ def test_score_against_the_definition(spark):
     assert by and all(s + 0.5 / 10 ** v.inside[k] == pytest.approx(1) for k, s in by.items())
 
 
+def test_large_corpora_train_on_every_token(spark):
+    # However many tokens there are beside ``visits``, none is left out.
+    df = spark.createDataFrame([(i, t) for i, t in corpus() if t], DOCS)
+    v, _, total, _ = lm.learn_counts(df, own=2, suffixes=8, local_words=30)
+    encoded = lm.encode(df, spark.sparkContext.broadcast(v)).filter("word IS NULL").cache()
+    once, few = (lm.train(encoded, v, total, dim=8, visits=n) for n in (total, 1))
+    assert all(np.array_equal(once.table[k], few.table[k]) and np.array_equal(once.scale[k], few.scale[k]) for k in once.table)
+
+
 def test_only_held_out_documents(spark):
     i = next(i for i in range(100) if held_out(i))
     r = lm.score(spark.createDataFrame([(i, "a b")], DOCS), **SMALL).first()
