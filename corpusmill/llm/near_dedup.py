@@ -281,6 +281,12 @@ def similarity(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def _among(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose key is among those of ``keys``, by a bitmap, and few others: only these move at all."""
+    bits, size = bitmap_table(keys, _key_hash(), keys.count())
+    return maybe_among(rows, _key_hash(), bits, size, "asked").filter("asked").drop("asked")
+
+
 def likely(links: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """The rows (x, y) of ``links`` that agree in enough coordinates."""
     sketch = nodes.select("key", "sketch")
@@ -302,14 +308,15 @@ def verified(links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     links = stored(links, "likely")
     if not links.take(1):
         return links
-    parts = links.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).withColumnRenamed("x", "hub")
-    members = links.join(parts, F.col("x") == F.col("hub")).select(F.col("y").alias("k"), "hub", F.pmod(F.xxhash64("y"), "parts").cast("int").alias("part"), F.lit(1).alias("side"))
-    hubs = parts.select(F.col("hub").alias("k"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"))
-    roles = stored(hubs.unionByName(members), "roles")
-    # Only the multisets that have a role, by a bitmap, move at all.
-    bits, size = bitmap_table(roles.withColumnRenamed("k", "key"), _key_hash(), roles.count())
-    asked = maybe_among(sets, _key_hash(), bits, size, "asked").filter("asked")
-    rows = roles.join(asked, F.col("k") == F.col("key")).select("hub", "part", "side", "key", "regions")
+    parts = stored(links.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).withColumnRenamed("x", "hub"), "hubs")
+    members = links.join(parts, F.col("x") == F.col("hub")).select(F.col("y").alias("k"), "hub", F.pmod(F.xxhash64("y"), "parts").cast("int").alias("part"))
+    members = stored(members, "roles")
+    rows = members.join(_among(sets, members.withColumnRenamed("k", "key")), F.col("k") == F.col("key")).select("hub", "part", F.lit(1).alias("side"), "key", "regions")
+    # A hub's multiset goes straight to its parts, a few others with them. Hubs of several parts are at most a PART-th of the links.
+    several = F.broadcast(parts.filter("parts > 1").withColumnRenamed("hub", "k"))
+    first = _among(sets, parts.withColumnRenamed("hub", "key")).join(several, F.col("k") == F.col("key"), "left")
+    number = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    rows = rows.unionByName(first.select(F.col("key").alias("hub"), number, F.lit(0).alias("side"), "key", "regions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, held = None, b""
@@ -501,11 +508,23 @@ def _complete(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: Dat
     if not dense.take(1):
         return links
     number = F.ceil(F.greatest(F.sum("n") / SET_BLOCK, F.sum("weight") / SET_REGIONS)).cast("int")
-    cells = _blocks(dense, number, sets)
+    cells = _blocks(dense, number, _among(sets, dense))
     found = _compared(cells, "regions", _spanning(threshold), _LINKS)
     return links.unionByName(stored(found.distinct(), "complete"))
 
 
+def shared_buckets(nodes: DataFrame) -> DataFrame:
+    """key, bucket, hub (the bucket's smallest key) and n (its nodes) of the buckets that hold several nodes. Most hold
+    one: the buckets' numbers alone are counted first, and of the rows only those of shared buckets move, by a bitmap,
+    with few others."""
+    buckets = nodes.select("key", F.explode("bands").alias("bucket"))
+    shared = stored(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"), "shared")
+    bits, size = bitmap_table(shared, F.col("bucket"), shared.count())
+    asked = stored(maybe_among(buckets, F.col("bucket"), bits, size, "asked").filter("asked").select("key", "bucket"), "asked")
+    hubs = asked.groupBy("bucket").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("bucket", "b")
+    return stored(asked.join(hubs, F.col("bucket") == F.col("b")).drop("b"), "members")
+
+
 def near_classes(docs: DataFrame, id_col="doc_id", text_col="text", threshold=THRESHOLD, k=K, rows=ROWS, bands=BANDS) -> DataFrame:
     """One row for each input row: id, class_id (the smallest id in its class), class_size, copies (rows
     with an equal multiset), digest (MD5 of the text) and kept (it is the class's row with the smallest id, of equal
@@ -515,11 +534,10 @@ def near_classes(docs: DataFrame, id_col="doc_id", text_col="text", threshold=TH
     # Equal multisets have equal bands and sketches: any of the rows speaks for the node.
     any_of = [F.first(c).alias(c) for c in ("weight", "bands", "sketch")]
     nodes = stored(found.groupBy("key").agg(F.min(F.struct("id", "digest")).alias("first"), F.count(F.lit(1)).alias("copies"), *any_of), "nodes")
-    buckets = nodes.select("key", F.explode("bands").alias("bucket"))
-    hubs = buckets.groupBy("bucket").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("bucket", "b")
-    members = stored(buckets.join(hubs, F.col("bucket") == F.col("b")).drop("b"), "members")
+    members = shared_buckets(nodes)
+    shared = stored(_among(nodes.select("key", "weight", "sketch"), members), "shared-nodes")
     pairs = members.filter("key != hub").select(F.col("hub").alias("x"), F.col("key").alias("y")).distinct()
-    candidates = stored(likely(pairs, nodes, threshold), "candidates")
+    candidates = stored(likely(pairs, shared, threshold), "candidates")
     # The one further pass over the texts: multisets of all nodes that share a bucket.
     sets = multisets(docs, text_col, members.select("key").distinct()).groupBy("key").agg(F.first("regions").alias("regions"))
     sets = stored(sets, "sets")
@@ -531,7 +549,7 @@ def near_classes(docs: DataFrame, id_col="doc_id", text_col="text", threshold=TH
     apart = apart.filter(F.coalesce("lx", "x") != F.coalesce("ly", "y")).select("x", "y")
     links = links.unionByName(verified(apart, sets, threshold))
     labels = stored(components(links), "labels")
-    more = _complete(members, labels, nodes, sets, threshold)
+    more = _complete(members, labels, shared, sets, threshold)
     if more.take(1):
         labels = stored(components(links.unionByName(more)), "labels")
     node = nodes.select("key", "first", "copies").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
