@@ -53,8 +53,8 @@ OWN, SUFFIXES, DIM, LAGS, ROUNDS, VISITS = 25, 256, 32, 2, 4, 4_000_000
 #: Noise samples of a token, tokens of a batch, step size.
 NOISE, BATCH, RATE = 10, 8192, 0.1
 LOCAL_WORDS = 1 << 16
-#: Tokens of a slice, bytes of text that are counted at a time.
-SLICE_TOKENS, COUNT_BYTES = 1 << 18, 1 << 23
+#: Tokens of a slice, tokens that are scored and bytes of text that are counted at a time.
+SLICE_TOKENS, SCORED_TOKENS, COUNT_BYTES = 1 << 18, 1 << 16, 1 << 23
 END = b" end"  # holds a space, so no word equals it
 
 
@@ -184,39 +184,40 @@ class Parameters:
     def contexts(self, leaves: np.ndarray, at: np.ndarray) -> np.ndarray:
         """h of the places ``at``, with a last column of ones for the biases."""
         r, c = self.table["r"], self.table["c"]
-        h = None
+        h = np.ones((len(at), r.shape[1] + 1), np.float32)
         for i, x in enumerate(c):
-            scaled = np.column_stack((r * x, np.full(len(r), not i, np.float32)))
-            part = np.take(scaled, leaves[at - 1 - i], axis=0)
-            h = part if h is None else np.add(h, part, out=h)
+            part = np.take(r, leaves[at - 1 - i], axis=0)
+            part *= x
+            h[:, :-1] = part if not i else np.add(h[:, :-1], part, out=part)
         return h
 
-    def levels(self, target: np.ndarray) -> Iterator[tuple[str, np.ndarray, list[tuple[int, int, int]]]]:
-        """(level, member among its node of each target, (node, first row, last row + 1) of the nodes with targets) for
-        the ascending leaves ``target``."""
+    def levels(self, target: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray, list[tuple[int, int, int]]]]:
+        """(level, node of each target, member among its node of each target, (node, first row, last row + 1) of the
+        nodes with targets) for the ascending leaves ``target``."""
         w = len(self.table["top"])
         for name, down in zip(_LEVELS, (w * w, w, 1), strict=True):
             place = target // down
             node = place // w
             first = np.flatnonzero(np.diff(node, prepend=-1))
             edges = [*first.tolist(), len(node)]
-            yield name, place - node * w, list(zip(node[first].tolist(), edges[:-1], edges[1:], strict=True))
+            yield name, node, place - node * w, list(zip(node[first].tolist(), edges[:-1], edges[1:], strict=True))
 
     def scores(self, name: str, h: np.ndarray, nodes: list[tuple[int, int, int]]) -> np.ndarray:
         """h . q + b of every row with the members of its node."""
-        w, q = len(self.table["top"]), self.table[name]
+        w = len(self.table["top"])
+        q = self.table[name].reshape(-1, w, h.shape[1])
         out = np.empty((len(h), w), np.float32)
         for node, lo, hi in nodes:
-            np.matmul(h[lo:hi], q[node * w : (node + 1) * w].T, out=out[lo:hi])
+            np.dot(h[lo:hi], q[node].T, out=out[lo:hi])
         return out
 
     def log_probabilities(self, leaves: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Natural log-probability of the leaves at the places ``at``, given those before them."""
-        order = np.argsort(leaves[at], kind="stable")
+        order = _ascending(leaves[at])
         at = at[order]
         h, target = self.contexts(leaves, at), leaves[at]
         found = np.zeros(len(at), np.float32)
-        for name, own, nodes in self.levels(target):
+        for name, _, own, nodes in self.levels(target):
             s = self.scores(name, h, nodes)
             found += s[np.arange(len(s)), own]
             if len(s) and s.max() > 60:  # else exponentials stay in range as they are
@@ -230,6 +231,12 @@ class Parameters:
         return out
 
 
+def _ascending(leaves: np.ndarray) -> np.ndarray:
+    """Stable order of leaves; numpy sorts short numbers by radix."""
+    short = len(leaves) and leaves.max() < 1 << 16
+    return np.argsort(leaves.astype(np.uint16) if short else leaves, kind="stable")
+
+
 class Trainer:
     """Trains a copy of the parameters and knows how often each row was moved."""
 
@@ -237,14 +244,17 @@ class Trainer:
         self.rate, self.rng, self.p, self.width = rate, np.random.default_rng(seed), p.copy(), v.width
         self.moved = {k: np.zeros(len(x), np.int64) for k, x in p.scale.items()}
         shares = v.shares()
-        self.noise = {k: (NOISE * x).astype(np.float32).reshape(-1, v.width) for k, x in shares.items()}
-        self.shift = {k: np.where(x > 0, np.log(np.maximum(x, 1e-30)), 0) for k, x in self.noise.items()}
-
-    def _step(self, name: str, rows, grads: np.ndarray, n) -> None:
-        scale = self.p.scale[name]
-        scale[rows] += (grads * grads).mean(axis=1)
-        self.p.table[name][rows] += self.rate * grads / np.sqrt(scale[rows])[:, None]
-        self.moved[name][rows] += n
+        self.against = {k: (-NOISE * x).astype(np.float32).reshape(-1, v.width) for k, x in shares.items()}
+        self.shift = {k: np.where(x < 0, np.log(np.maximum(-x, 1e-30)), 0) for k, x in self.against.items()}
+
+    def _step(self, name: str, at, grads: np.ndarray, n) -> None:
+        """Moves the rows ``at``, or the rows of the nodes ``at`` where ``grads`` (used up) has a matrix for each."""
+        scale, moved = (x[name].reshape(-1, *grads.shape[1:-1]) for x in (self.p.scale, self.moved))
+        new = scale[at] + np.einsum("...j,...j->...", grads, grads) / np.float32(grads.shape[-1])
+        scale[at] = new
+        grads *= (self.rate / np.sqrt(new))[..., None]
+        self.p.table[name].reshape(-1, *grads.shape[1:])[at] += grads
+        moved[at] += n
 
     def visit(self, leaves: np.ndarray, places: np.ndarray) -> None:
         places = self.rng.permutation(places)
@@ -253,39 +263,38 @@ class Trainer:
 
     def _batch(self, leaves: np.ndarray, at: np.ndarray) -> None:
         p, w = self.p, self.width
-        at = at[np.argsort(leaves[at], kind="stable")]
+        at = at[_ascending(leaves[at])]
         h, target = p.contexts(leaves, at), leaves[at]
-        gh = np.zeros_like(h)
+        gh, part = np.zeros_like(h), np.empty_like(h)
         steps = []
-        for name, own, nodes in p.levels(target):
-            node = np.repeat([k for k, _, _ in nodes], [hi - lo for _, lo, hi in nodes])
+        for name, node, own, nodes in p.levels(target):
             g = p.scores(name, h, nodes)
-            g -= self.shift[name][node]
-            _sigmoid(g)
-            hit = np.arange(len(own)), own
-            up = 1 - g[hit]
-            g *= self.noise[name][node]
-            np.negative(g, out=g)
-            g[hit] += up
-            q = p.table[name]
-            made = np.empty((len(nodes) * w, q.shape[1]), np.float32)
+            np.subtract(np.take(self.shift[name], node, axis=0), g, out=g)
+            _sigmoid_of_negative(g)
+            flat, hit = g.reshape(-1), np.arange(len(own)) * w + own
+            up = 1 - flat[hit]
+            g *= np.take(self.against[name], node, axis=0)
+            flat[hit] += up
+            q = p.table[name].reshape(-1, w, h.shape[1])
+            made = np.empty((len(nodes), *q.shape[1:]), np.float32)
             for k, (m, lo, hi) in enumerate(nodes):
-                part = g[lo:hi]
-                gh[lo:hi] += part @ q[m * w : (m + 1) * w]
-                np.matmul(part.T, h[lo:hi], out=made[k * w : (k + 1) * w])
-            members = (np.array([m for m, _, _ in nodes])[:, None] * w + np.arange(w)).reshape(-1)
-            times = np.bincount(node * w + own, minlength=len(q))[members]
+                np.dot(g[lo:hi], q[m], out=part[lo:hi])
+                np.dot(g[lo:hi].T, h[lo:hi], out=made[k])
+            gh += part
+            members = np.array([m for m, _, _ in nodes])
+            times = np.bincount(node * w + own, minlength=len(q) * w).reshape(-1, w)[members]
             steps.append((name, members, made, np.maximum(times, 1)))
-        gh = gh[:, :-1]
+        gh = np.ascontiguousarray(gh[:, :-1])
         context, c = p.table["r"], p.table["c"]
         before = [leaves[at - 1 - i] for i in range(len(c))]
         gc = np.stack([np.einsum("ij,ij->j", gh, np.take(context, b, axis=0)) for b in before])
         flat = np.concatenate(before)
         times = np.bincount(flat, minlength=len(context))
         rows = np.flatnonzero(times)
-        gr = np.empty((len(rows), gh.shape[1]), np.float32)
-        for d in range(gh.shape[1]):
-            gr[:, d] = np.bincount(flat, np.concatenate([gh[:, d] * x[d] for x in c]), len(context))[rows]
+        # Sums of each row's gradients, by one count over (row, dimension).
+        place, dim = np.cumsum(times > 0) - 1, gh.shape[1]
+        cells = (place[flat] * dim)[:, None] + np.arange(dim)
+        gr = np.bincount(cells.reshape(-1), np.concatenate([gh * x for x in c]).reshape(-1), len(rows) * dim).reshape(-1, dim).astype(np.float32)
         # All gradients are taken at the parameters before the step.
         for step in steps:
             self._step(*step)
@@ -293,11 +302,10 @@ class Trainer:
         self._step("r", rows, gr, times[rows])
 
 
-def _sigmoid(x: np.ndarray) -> None:
-    """In place."""
-    np.clip(x, -30, 30, out=x)
-    np.negative(x, out=x)
-    np.exp(x, out=x)
+def _sigmoid_of_negative(x: np.ndarray) -> None:
+    """In place; beyond the range of exponentials it is 0."""
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
     x += 1
     np.reciprocal(x, out=x)
 
@@ -474,7 +482,7 @@ def score(docs: DataFrame, id_col="doc_id", text_col="text", own=OWN, suffixes=S
             for part in slices(batch, len(kept) + 1, 4 * SLICE_TOKENS, 1 << 16):
                 n = part.column(3).to_numpy()
                 leaves, at = with_starts(np.frombuffer(b"".join(part.column(len(kept) + 1).to_pylist()), np.int32), n, len(p.table["c"]), start)
-                logs = np.concatenate([p.log_probabilities(leaves, at[i : i + SLICE_TOKENS]) for i in range(0, len(at), SLICE_TOKENS)])
+                logs = np.concatenate([p.log_probabilities(leaves, at[i : i + SCORED_TOKENS]) for i in range(0, len(at), SCORED_TOKENS)])
                 sums = np.add.reduceat(logs.astype(np.float64), np.cumsum(n) - n) / math.log(10) + part.column(len(kept)).to_numpy()
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(sums)], names=[*kept, "modelled"])
 

@@ -4,6 +4,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -293,6 +294,49 @@ def test_large_corpora_train_on_every_token(spark):
     assert all(np.array_equal(once.table[k], few.table[k]) and np.array_equal(once.scale[k], few.scale[k]) for k in once.table)
 
 
+def test_contexts_cost_what_their_tokens_do():
+    # The tables grow with the corpus; a batch works on the rows of its own tokens.
+    table = {"r": np.ones((200_001, 32), np.float32), "c": np.ones((2, 32), np.float32)}
+    leaves = np.arange(100, dtype=np.int32)
+    tracemalloc.start()
+    h = lm.Parameters(table, {}).contexts(leaves, np.arange(2, 100))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 20 and h.shape == (98, 33) and (h[:, :-1] == 2).all() and (h[:, -1] == 1).all()
+
+
+def test_training_step_against_the_definition():
+    rng = np.random.default_rng(3)
+    v = lm.Vocabulary(None, None, None, None, None, np.sort(rng.integers(1, 50, 20))[::-1] + 0.5, None)
+    p, w, shares = lm.Parameters.start(v, 4, 2), v.width, v.shares()
+    leaves, at = np.append([20, 20], rng.integers(0, 20, 60)).astype(np.int32), np.arange(2, 62)
+    trainer = lm.Trainer(v, p, 0.1, 1)
+    trainer._batch(leaves, at)
+    old = {k: x.astype(float) for k, x in p.table.items()}
+    grads = {k: np.zeros_like(x) for k, x in old.items()}
+    moved = {k: np.zeros(len(x), int) for k, x in old.items()}
+    for k in at:
+        h, gh = np.append(sum(old["r"][leaves[k - 1 - i]] * old["c"][i] for i in range(2)), 1.0), np.zeros(5)
+        for name, down in (("top", w * w), ("group", w), ("leaf", 1)):
+            own = leaves[k] // down
+            for x in range(own // w * w, own // w * w + w):
+                noise = lm.NOISE * shares[name][x]
+                chance = noise and 1 / (1 + np.exp(math.log(noise) - old[name][x] @ h))
+                g = (x == own) * (1 - chance) - noise * chance
+                grads[name][x] += g * h
+                gh += g * old[name][x]
+            moved[name][own] += 1
+        for i in range(2):
+            grads["c"][i] += gh[:-1] * old["r"][leaves[k - 1 - i]]
+            grads["r"][leaves[k - 1 - i]] += gh[:-1] * old["c"][i]
+            moved["r"][leaves[k - 1 - i]] += 1
+    for name, g in grads.items():
+        scale = p.scale[name] + (g * g).mean(axis=1)
+        assert trainer.p.scale[name] == pytest.approx(scale, rel=1e-3)
+        assert trainer.p.table[name] == pytest.approx(old[name] + 0.1 * g / np.sqrt(scale)[:, None], abs=1e-4)
+        assert (trainer.moved[name] >= moved[name]).all() and (trainer.moved[name][moved[name] > 0] > 0).all()
+
+
 def test_only_held_out_documents(spark):
     i = next(i for i in range(100) if held_out(i))
     r = lm.score(spark.createDataFrame([(i, "a b")], DOCS), **SMALL).first()
